@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, topk
+from tidemark.llm import decontam, mixing, topk, warc
+from tidemark.llm.common import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,24 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
+    path = new_path(spark, "warc")
+    warc.write_archives(pages, path, min_revisit=1000)
+    records = warc.read_archives(spark, path, payloads=False)
+    return records.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+
 def op8_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), window=10)
     return decontam.report(hits)
@@ -75,8 +94,8 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_bitsliced, op5_mix_sources, op8_winnow_decontaminate)}
+    return {f.__name__: f for f in (op1_topk_bitsliced, op5_mix_sources, op6_warc_roundtrip, op8_winnow_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_bitsliced": OP1_SQL, "op5_mix_sources": OP5_SQL, "op8_winnow_decontaminate": OP8_SQL}
+    return {"op1_topk_bitsliced": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_warc_roundtrip": OP6_SQL, "op8_winnow_decontaminate": OP8_SQL}
