@@ -49,3 +49,10 @@ def sample_rows(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     if total <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(text, label) of about `rows` labelled documents. The labels are sampled first, so the join's small side is bounded."""
+    chosen = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
+    chosen = sample_rows(chosen, "doc_id", rows, chosen.count()).limit(2 * rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")

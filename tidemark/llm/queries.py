@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, mixing, topk, warc
-from tidemark.llm.common import new_path
+from tidemark.llm import decontam, langid, mixing, quality, topk, toxicity, warc
+from tidemark.llm.common import held_out, new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def _classified(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"), 4, 2)), "toxic")
+    return _classified(toxicity.score(docs, model), 4, 2)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.document_items(_read(spark, sf_dir, "documents")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -72,6 +82,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 """
 
 
+def op7_quality_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), "quality")
+    return _classified(quality.score(docs, model), 5, 0)
+
+
+def op9_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~out).select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), window=10)
     return decontam.report(hits)
@@ -94,7 +117,7 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_bitsliced, op5_mix_sources, op6_warc_roundtrip, op8_winnow_decontaminate)}
+    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl)}
 
 
 def oracle_sql() -> dict[str, str]:
