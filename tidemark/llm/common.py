@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Broadcast a table only up to this many (narrow) rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -56,3 +57,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     chosen = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = sample_rows(chosen, "doc_id", rows, chosen.count()).limit(2 * rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+
+
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of `df` with further columns, for functions that append to Arrow batches."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])

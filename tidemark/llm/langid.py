@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sample_rows
+from tidemark.llm.common import sample_rows, with_fields
 from tidemark.llm.words import WordTable
 
 
@@ -143,6 +143,7 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred and score, the probability of that language."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -153,4 +154,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             b = b.append_column("lang_pred", pa.array([x[0] for x in found], pa.string()))
             yield b.append_column("score", pa.array([x[1] for x in found], pa.float64()))
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, with_fields(docs, lang_pred="string", score="double"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import labelled_sample
+from tidemark.llm.common import labelled_sample, with_fields
 from tidemark.llm.words import WordTable
 
 
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, s: Settings = Settings()
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with a column `score`, the probability of class 1 for each row's whole text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -136,4 +136,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.append_column("score", pa.array([probability(t) for t in b.column(at).to_pylist()], pa.float64()))
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, with_fields(docs, score="double"))
