@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, mixing, quality, topk, toxicity, warc
+from tidemark.llm import decontam, langid, mixing, neardup, quality, topk, toxicity, warc
 from tidemark.llm.common import held_out, new_path
 
 
@@ -39,6 +39,11 @@ def op2_toxicity_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(toxicity.score(docs, model), 4, 2)
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.document_items(_read(spark, sf_dir, "documents")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -117,7 +122,7 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl)}
+    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl)}
 
 
 def oracle_sql() -> dict[str, str]:

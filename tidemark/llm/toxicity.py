@@ -50,7 +50,7 @@ class Settings:
     landmarks: int = 160
     rounds: int = 3
     negatives: int = 20_000
-    max_docs: int = 6000
+    max_docs: int = 4000
     seed: int = 3
 
 
@@ -152,7 +152,8 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
         who, what, weight, norm = occurrences(units, s.decay)
         out = np.zeros((len(units), SYMBOLS**GRAM), np.float32)
         np.add.at(out, (who, what), weight)
-        return out / norm[:, None]
+        out /= norm[:, None].astype(np.float32)
+        return out
 
     marks = dense(landmarks)
     values, axes = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -160,7 +161,7 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
     white = axes[:, keep] / np.sqrt(values[keep])
 
     def mapped(units: list[bytes]) -> np.ndarray:
-        return np.concatenate([(dense(units[i : i + 1000]) @ marks.T).astype(np.float64) @ white for i in range(0, len(units), 1000)])
+        return np.concatenate([(dense(units[i : i + 250]) @ marks.T).astype(np.float64) @ white for i in range(0, len(units), 250)])
 
     # Witnesses are counted by how many toxic documents they speak for.
     witness = Counter(max(b, key=lambda u: (odds.get(u, -9.0), u)) for b in toxic)
