@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, mixing, neardup, quality, topk, toxicity, warc
+from tidemark.llm import decontam, langid, mixing, neardup, quality, substrings, topk, toxicity, warc
 from tidemark.llm.common import held_out, new_path
 
 
@@ -100,6 +100,21 @@ def op9_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=13))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM g JOIN f USING (g) WHERE doc_id > first GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id
+"""
+
+
 def op8_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.decontaminate(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), window=10)
     return decontam.report(hits)
@@ -122,8 +137,8 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl)}
+    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl, op10_recompression_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_bitsliced": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_warc_roundtrip": OP6_SQL, "op8_winnow_decontaminate": OP8_SQL}
+    return {"op1_topk_bitsliced": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_warc_roundtrip": OP6_SQL, "op8_winnow_decontaminate": OP8_SQL, "op10_recompression_dedup": OP10_SQL}
