@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, mixing, neardup, quality, substrings, topk, toxicity, warc
+from tidemark.llm import decontam, langid, mixing, neardup, ngram_lm, quality, substrings, topk, toxicity, warc
 from tidemark.llm.common import held_out, new_path
 
 
@@ -44,6 +44,12 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = _read(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 7, 2)
+    scored = ngram_lm.score(docs, ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.document_items(_read(spark, sf_dir, "documents")))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -137,7 +143,7 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl, op10_recompression_dedup)}
+    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op4_bloom_lm, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl, op10_recompression_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
