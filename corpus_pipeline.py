@@ -1,2 +1,81 @@
-"""The corpus pipeline."""
-STAGES: list = []
+"""The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, mixing; each stage's result is a written table.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontam, mixing, neardup, quality, substrings
+from tidemark.llm.common import held_out, small, written
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` less those whose doc_id is in `ids` (a column gone)."""
+    return docs.join(small(ids), F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.3 or more; it learns from `labels` as op7 does."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), "quality")
+    return quality.score(docs, model).where("score >= 0.3").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id.
+
+    Rows that repeat a doc_id and its text are one document; a doc_id with several texts goes only if none of them is kept.
+    """
+    found = written(neardup.near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), "kept")
+    per = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    docs = _without(docs, per.where("not kept").select(F.col("doc_id").alias("gone")))
+    again = per.where("rows > 1 and kept and doc_id is not null").select(F.col("doc_id").alias("gone"))
+    if again.isEmpty():
+        return docs
+    several = docs.join(small(again), F.col("doc_id") == F.col("gone"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _without(docs, again).unionByName(several)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words or more that a document with a smaller doc_id holds; documents left without a word go."""
+    cut = substrings.without_repeats(docs, window=13).where("n_removed = 0 or n_removed < n_words")
+    changed = F.col("n_removed") > 0
+    cut = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no 10 words in a row (and no whole shorter item) with the benchmark."""
+    hits = decontam.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return _without(docs, written(hits.where(F.size("hit_words") > 0).select(F.col("doc_id").alias("gone")).distinct(), "leaks"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents of which a word is taken, with size, source_size, target and taken (words, repeats counted)."""
+    mixed = mixing.mix(mixing.document_items(docs)).where("taken > 0").select("id", "tie", "size", "source_size", "target", "taken")
+    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["id"]) & (F.xxhash64(docs["text"]) == mixed["tie"])).drop("id", "tie")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: The classifier is learned, which SQL cannot express; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{i}")
+    return docs
