@@ -35,7 +35,7 @@ from tidemark.llm.substrings import mixed
 BASE = 1.5
 PROBES = 5
 BITS = 9
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 24 << 20
 HEAD_WORDS = 1 << 18
 _U = np.uint64
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -76,10 +76,14 @@ def _packed(keys: np.ndarray, shards: int, narrow: bool, kind: int, found: list)
             found.append((kind, s, k.tobytes(), counts[at].astype(np.uint32).tobytes()))
 
 
-def _positions(key32: np.ndarray, level: int, probe: int, m: np.ndarray | int) -> np.ndarray:
+def _start(key32: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a key's probes for a level begin, and by what they go on."""
     x = mixed(key32.astype(_U) | _U(level << 32), 11)
-    step = (x >> _U(17)) | _U(1)
-    return (((x + _U(probe) * step * _U(0x9E3779B97F4A7C15)) >> _U(32)) * np.asarray(m, _U)) >> _U(32)
+    return x, ((x >> _U(17)) | _U(1)) * _U(0x9E3779B97F4A7C15)
+
+
+def _position(start: np.ndarray, step: np.ndarray, probe: int, m: np.ndarray | int) -> np.ndarray:
+    return (((start + _U(probe) * step) >> _U(32)) * np.asarray(m, _U)) >> _U(32)
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -99,8 +103,9 @@ def _merged(table: pa.Table) -> pa.Table:
     key32 = keys if kind else (mixed(keys, 3) >> _U(32)).astype(np.uint32)
     for level in range(1, int(levels.max()) + 1):
         key32, levels = key32[levels >= level], levels[levels >= level]
+        start, step = _start(key32, level)
         for p in range(PROBES):
-            bits[_positions(key32, level, p, m)] = True
+            bits[_position(start, step, p, m)] = True
     row = {"kind": kind, "shard": shard, "m": m, "bits": np.packbits(bits, bitorder="little").tobytes(), "total": int(counts.sum()), "n_keys": len(keys)}
     row |= {"words": b"" if kind else keys.tobytes(), "counts": b"" if kind else counts.tobytes()}
     return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
@@ -124,11 +129,12 @@ class Filter:
         out, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
         while len(live):
             level += 1
+            start, step = _start(key32, level)
             for p in range(PROBES):
-                at = _positions(key32[live], level, p, m[live]) + base[live]
-                live = live[(self.bytes[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
+                at = _position(start, step, p, m) + base
+                hit = (self.bytes[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    live, start, step, m, base, key32 = (x[hit] for x in (live, start, step, m, base, key32))
             out[live] = level
         return out
 
@@ -148,7 +154,7 @@ def learn(docs: DataFrame, shards: int) -> DataFrame:
     """The written shards (kind 0: words, 1: pairs) of a training frame with a text column."""
 
     def count(batches):
-        for _, h, _ in portions(batches, 1_500_000):
+        for _, h, _ in portions(batches, 600_000):
             found: list[tuple] = []
             _packed(h, shards, False, 0, found)
             _packed(pairs(h), shards, True, 1, found)
@@ -197,7 +203,7 @@ def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20) ->
 
     def run(batches):
         (of_word, of_pair), (known, counts) = shared.value
-        for part, h, row in portions(batches, 300_000):
+        for part, h, row in portions(batches, 200_000):
             n, rid = len(part), part.column("rid").to_numpy()
             distinct, at = np.unique(h, return_inverse=True)
             i = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))

@@ -6,12 +6,14 @@ name, so naming is global: the same text gets the same symbols in every document
 symbol's forming looked to its left and right is kept with it (its context): every occurrence of a text that holds a symbol's whole
 context has that symbol at the same place.
 
-Reveal: after the last round, Spark finds the symbols that occur in two or more documents. A window of `window` words that occurs in two
-documents has, in both, the same symbols among those whose context it holds; so a window that holds the context of a symbol of one document only
-occurs nowhere else. What is left are windows whose inner symbol (the one of least hash) is shared, and the few without any.
-Verify: the hashes of exactly these windows are joined; a window's words go where the same hash starts in a document with a smaller id.
-
-Scale: two passes over the texts and shuffles of symbols (about a sixth of the words) and of the surviving windows; counts are partial
+High level: after `HIGH_ROUNDS` rounds, symbols stand for some thirty words. One that also occurs in a document with a smaller id is a
+verified repeat (equal names are equal texts), and every window within it is done: it is covered, and it is nobody's first occurrence.
+Low level, for the ends of repeats: after `ROUNDS` rounds, Spark finds the symbols that occur in two or more documents. A window that occurs in
+two documents has, in both, the same symbols among those whose context it holds; so one whose inner symbol (that of least hash) is of one document
+only occurs nowhere else. What is left are windows whose inner symbol is shared, and the few without any; their hashes are joined, and
+a window's words go where the same hash starts in a document with a smaller id.
+
+Scale: passes over the texts for each level and shuffles of symbols (about a sixth of the words) and of the windows left; counts are partial
 before they are shuffled, so frequent words, lines and passages cost a row a task. Joins on symbols and windows are skew-splittable;
 no document's partners are ever gathered.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small, with_fields, written
 
-ROUNDS = 3
+ROUNDS, HIGH_ROUNDS = 3, 12
 _U = np.uint64
 
 
@@ -58,8 +60,8 @@ class Texts:
             self.owner[at] = i
 
 
-def recompressed(name: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, end, context start, context end) of the symbols after some rounds; ends are exclusive."""
+def recompressed(name: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, end, context start, context end) of the symbols after some rounds; ends are exclusive. Borders (owner -1) join nothing."""
     n = len(name)
     # Runs: a maximal run becomes one symbol. That a symbol is no longer a run shows in its neighbours, which are its context.
     first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
@@ -69,7 +71,8 @@ def recompressed(name: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np
     for r in range(1, rounds + 1):
         # Pairs: a symbol of the left half joins a following one of the right half. One that stays alone has looked that way.
         side = (mixed(name, 1000 + r) >> _U(60)) & _U(1) == 0
-        joins = np.r_[side[:-1] & ~side[1:], False]
+        text = owner[start] >= 0
+        joins = np.r_[side[:-1] & ~side[1:] & text[:-1] & text[1:], False]
         joined = np.r_[False, joins[:-1]]
         after_left, after_right = np.r_[left[1:], left[-1:]], np.r_[right[1:], right[-1:]]
         before_left, before_right = np.r_[left[:1], left[:-1]], np.r_[right[:1], right[:-1]]
@@ -83,13 +86,31 @@ def recompressed(name: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np
     return name, start, np.r_[start[1:], n], left, right
 
 
-def inner(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, starts, ends) of the high-level symbols of a window's length or more."""
+    name, start, end, _, _ = recompressed(t.h, t.owner, HIGH_ROUNDS)
+    ok = (end - start >= window) & (t.owner[start] >= 0)
+    return name[ok], start[ok], end[ok]
+
+
+def inside(t: Texts, first: list, end: list, window: int) -> np.ndarray:
+    """Mask of the starts of windows that lie within one of each text's spans."""
+    mark = np.zeros(len(t.h) + 1, np.int64)
+    for i, (a, b) in enumerate(zip(first, end, strict=True)):
+        if a is not None:
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            np.add.at(mark, t.start[i] + a, 1)
+            np.add.at(mark, t.start[i] + b - window + 1, -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
+def inner(t: Texts, window: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, a start of a window of each, each window's symbol by number or -1, open starts).
 
     Of the symbols whose whole context a window holds, the one with the least hash stands for the window; symbols that stand for no
-    window are left out. Open starts are those of windows that hold no context.
+    window are left out. Open starts are those of windows that hold no context. Windows that start where `known` is true are left out.
     """
-    name, start, end, left, right = recompressed(t.h)
+    name, start, end, left, right = recompressed(t.h, t.owner, ROUNDS)
     ok = (t.owner[left] >= 0) & (t.owner[left] == t.owner[right - 1]) & (right - left <= window) & (end - start > 1)
     name, left, right = name[ok], left[ok], right[ok]
     doc = t.owner[left]
@@ -98,16 +119,19 @@ def inner(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     name, lo, hi = name[ok], lo[ok], hi[ok]
     width = hi - lo + 1
     at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-    spread = np.repeat(mixed(name, 5), width)
+    number = np.repeat(np.arange(len(name)), width)
+    new = ~known[at]
+    at, number = at[new], number[new]
+    spread = mixed(name, 5)[number]
     least = np.full(len(t.h), np.iinfo(_U).max, _U)
     np.minimum.at(least, at, spread)
     # The symbol of each window, by its number among all; then by its number among the chosen.
     symbol = np.full(len(t.h), -1, np.int64)
     best = least[at] == spread
-    symbol[at[best]] = np.repeat(np.arange(len(name)), width)[best]
-    chosen, number = np.unique(symbol[symbol >= 0], return_inverse=True)
-    symbol[symbol >= 0] = number
-    fits = t.owner >= 0
+    symbol[at[best]] = number[best]
+    chosen, place = np.unique(symbol[symbol >= 0], return_inverse=True)
+    symbol[symbol >= 0] = place
+    fits = (t.owner >= 0) & ~known
     fits[: len(fits) - window + 1] &= t.owner[: len(fits) - window + 1] == t.owner[window - 1 :]
     fits[len(fits) - window + 1 :] = False
     return name[chosen], lo[chosen], symbol, np.flatnonzero(fits & (symbol < 0))
@@ -141,17 +165,30 @@ def _portions(batches, limit: int = 300_000):
 
 
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, spans array<struct<first, end>>): the words, from 0, that windows cover which also start in a document with a smaller doc_id."""
+    """(doc_id, span_first, span_end: arrays): the words, from 0, that windows cover which also start in a document with a smaller doc_id."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     id_field = docs.schema["doc_id"].dataType.simpleString()
-
     schema = f"name long, doc_id {id_field}, start int, open boolean"
 
+    def high(batches):
+        for rows, texts in _portions(batches):
+            t = Texts(texts)
+            name, start, end = passages(t, window)
+            b = _batch(t, rows.column("doc_id"), name, start, False)
+            yield b.set_column(3, "end", pa.array((end - t.start[t.owner[start]]).astype(np.int32)))
+
+    long = written(docs.mapInArrow(high, f"name long, doc_id {id_field}, start int, end int"), "passages")
+    first = long.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name", "a")
+    spans = long.join(first, "name").where("doc_id > a").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = written(spans.select("doc_id", F.col("spans.start").alias("span_first"), F.col("spans.end").alias("span_end")), "spans")
+    docs = docs.join(small(spans), "doc_id", "left")
+
     def symbols(batches):
         for rows, texts in _portions(batches):
             t = Texts(texts)
-            name, lo, _, free = inner(t, window)
-            at = np.unique(np.rec.fromarrays([t.owner[lo], name]), return_index=True)[1] if len(name) else np.zeros(0, np.int64)
+            done = inside(t, rows.column("span_first").to_pylist(), rows.column("span_end").to_pylist(), window)
+            name, lo, _, free = inner(t, window, done)
+            at = np.unique(mixed(name, t.owner[lo].astype(_U)), return_index=True)[1]
             yield _batch(t, rows.column("doc_id"), name[at], lo[at], False)
             yield _batch(t, rows.column("doc_id"), windows(t.h, free, window), free, True)
 
@@ -164,7 +201,8 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     def candidates(batches):
         for rows, texts in _portions(batches):
             t = Texts(texts)
-            name, lo, symbol, _ = inner(t, window)
+            done = inside(t, rows.column("span_first").to_pylist(), rows.column("span_end").to_pylist(), window)
+            name, lo, symbol, _ = inner(t, window, done)
             lists = rows.column("shared")
             values = lists.flatten().to_numpy().view(_U)
             whose = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -182,15 +220,15 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     # Starts that follow each other without a gap between their windows are one span.
     opens = F.filter(F.transform("starts", lambda x, i: F.when((i == 0) | (x > F.get(F.col("starts"), i - 1) + window), x)), lambda x: x.isNotNull())
     ends = F.filter(F.transform("starts", lambda x, i: F.when((i == F.size("starts") - 1) | (F.get(F.col("starts"), i + 1) > x + window), x + window)), lambda x: x.isNotNull())
-    return later.select("doc_id", F.arrays_zip(opens.alias("first"), ends.alias("end")).alias("spans"))
+    later = later.select("doc_id", opens.alias("span_first"), ends.alias("span_end"))
+    both = later.unionByName(spans).groupBy("doc_id")
+    return both.agg(F.flatten(F.collect_list("span_first")).alias("span_first"), F.flatten(F.collect_list("span_end")).alias("span_end"))
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """`docs` with n_words, n_removed and kept_text: the words of no repeated window, joined by single blanks (null for a null text)."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    found = written(repeats(docs, window), "repeats").select(F.col("doc_id").alias("repeat_id"), "spans")
-    # Two lists of numbers are smaller to send than one of pairs.
-    found = found.select("repeat_id", F.col("spans.first").alias("span_first"), F.col("spans.end").alias("span_end"))
+    found = written(repeats(docs, window), "repeats").withColumnRenamed("doc_id", "repeat_id")
     rows = docs.join(small(found), F.col("doc_id") == F.col("repeat_id"), "left").drop("repeat_id")
 
     def cut(batches):
@@ -199,8 +237,11 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             for t, first, end in zip(b.column("text").to_pylist(), b.column("span_first").to_pylist(), b.column("span_end").to_pylist(), strict=True):
                 kept = words = (t or "").encode().split()
                 if first is not None:
-                    bounds = [0, *(x for span in zip(first, end, strict=True) for x in span), len(words)]
-                    kept = [w for i in range(0, len(bounds), 2) for w in words[bounds[i] : bounds[i + 1]]]
+                    kept, at = [], 0
+                    for a, z in sorted(zip(first, end, strict=True)):
+                        kept += words[at:a]
+                        at = max(at, z)
+                    kept += words[at:]
                 total.append(len(words))
                 removed.append(len(words) - len(kept))
                 texts.append(None if t is None else b" ".join(kept).decode())
