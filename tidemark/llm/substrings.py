@@ -6,8 +6,9 @@ name, so naming is global: the same text gets the same symbols in every document
 symbol's forming looked to its left and right is kept with it (its context): every occurrence of a text that holds a symbol's whole
 context has that symbol at the same place.
 
-High level: after `HIGH_ROUNDS` rounds, symbols stand for some thirty words. One that also occurs in a document with a smaller id is a
-verified repeat (equal names are equal texts), and every window within it is done: it is covered, and it is nobody's first occurrence.
+High level: rounds of runs and pairs go on until a text is one symbol. A symbol of two windows or more that also occurs in a document with a
+smaller id is a verified repeat (equal names are equal texts), and every window within it is done: it is covered, and it is nobody's first
+occurrence. As symbols of all levels take part, a whole copy is one span, and of a long passage only windows near its ends are left.
 Low level, for the ends of repeats: after `ROUNDS` rounds, Spark finds the symbols that occur in two or more documents. A window that occurs in
 two documents has, in both, the same symbols among those whose context it holds; so one whose inner symbol (that of least hash) is of one document
 only occurs nowhere else. What is left are windows whose inner symbol is shared, and the few without any; their hashes are joined, and
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small, with_fields, written
 
-ROUNDS, HIGH_ROUNDS = 3, 12
+ROUNDS, MOST_ROUNDS = 3, 60
 _U = np.uint64
 
 
@@ -87,10 +88,24 @@ def recompressed(name: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.n
 
 
 def passages(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, starts, ends) of the high-level symbols of a window's length or more."""
-    name, start, end, _, _ = recompressed(t.h, t.owner, HIGH_ROUNDS)
-    ok = (end - start >= window) & (t.owner[start] >= 0)
-    return name[ok], start[ok], end[ok]
+    """(names, starts, ends) of the symbols of two windows' length or more, of all levels: each is reported in the round that forms it."""
+    name, start, found = t.h, np.arange(len(t.h)), []
+    for r in range(1, MOST_ROUNDS):
+        first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        length = np.diff(np.r_[first, len(name)])
+        fresh = length > 1
+        name, start = np.where(fresh, mixed(mixed(name[first], length.astype(_U)), 2 * r), name[first]), start[first]
+        side, text = (mixed(name, 1000 + r) >> _U(60)) & _U(1) == 0, t.owner[start] >= 0
+        joins = np.r_[side[:-1] & ~side[1:] & text[:-1] & text[1:], False]
+        name = np.where(joins, mixed(mixed(name, np.r_[name[1:], name[:1]]), 2 * r + 1), name)
+        keep = ~np.r_[False, joins[:-1]]
+        name, start, fresh = name[keep], start[keep], (fresh | joins)[keep]
+        end = np.r_[start[1:], len(t.h)]
+        ok = fresh & (end - start >= 2 * window) & (t.owner[start] >= 0)
+        found.append((name[ok], start[ok], end[ok]))
+        if len(name) <= 2 * len(t.size) + 1:  # each text is one symbol
+            break
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def inside(t: Texts, first: list, end: list, window: int) -> np.ndarray:
@@ -189,7 +204,8 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             done = inside(t, rows.column("span_first").to_pylist(), rows.column("span_end").to_pylist(), window)
             name, lo, _, free = inner(t, window, done)
             at = np.unique(mixed(name, t.owner[lo].astype(_U)), return_index=True)[1]
-            yield _batch(t, rows.column("doc_id"), name[at], lo[at], False)
+            b = _batch(t, rows.column("doc_id"), name[at], lo[at], False)
+            yield b.set_column(2, "start", pa.nulls(len(at), pa.int32()))
             yield _batch(t, rows.column("doc_id"), windows(t.h, free, window), free, True)
 
     found = written(docs.mapInArrow(symbols, schema), "symbols")
