@@ -25,11 +25,14 @@ from tidemark.llm.common import small
 
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FINGERPRINT_ROWS = 500_000
+#: The bits of a gram that are hash; those below hold its position.
+HASH_MASK = -(1 << 30)
 
 
 def word_hashes(text: Column) -> Column:
     """array<long>: a 64-bit hash of each word. lower() is used only where a word is all ASCII, so É stays É."""
-    lowered = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
+    # translate() is slow; it is left to words that have both a letter beyond ASCII and something to lower.
+    lowered = lambda w: F.when((F.octet_length(w) == F.length(w)) | (F.lower(w) == w), F.lower(w)).otherwise(F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
     words = F.filter(F.split(F.coalesce(text, F.lit("")), NON_WORD), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(lowered(w)))
 
@@ -41,11 +44,24 @@ def _gram(at: Column, n: int) -> Column:
 def _anchors(window: int, k: int, short: list[int], pad: int, whole_short: bool) -> Column:
     """array<struct<p, n, h, ctx>> of a row with `wh`: winnowed k-grams with context, and the n-grams of short lengths."""
     size, run, reach = F.size("wh"), window - k + 1, window - k
-    grams = F.transform(F.sequence(F.lit(0), size - k), lambda i: _gram(i, k))
-    lowest = lambda g: F.transform(F.sequence(F.lit(0), size - k - run + 1), lambda j: (j + F.array_position(F.slice(g, j + 1, run), F.array_min(F.slice(g, j + 1, run))) - 1).cast("int"))
+    # A gram is 34 bits of hash above its position, so the least of a run tells both what and where; of equal hashes it is the first.
+    grams = F.transform(F.sequence(F.lit(0), size - k), lambda i: _gram(i, k).bitwiseAND(F.lit(HASH_MASK)).bitwiseOR(i.cast("long")))
+    least_of = lambda g, h, by: F.zip_with(g, F.slice(h, by + 1, F.greatest(F.size(h) - by, F.lit(0))), lambda a, b: F.least(a, b))
     around = lambda p: F.transform(F.sequence(p - reach, p + window - 1), lambda i: F.when((i >= 0) & (i < size), F.get(F.col("wh"), i)).otherwise(F.lit(pad).cast("long")))
-    # The k-grams are computed once a row, as the single element of an array.
-    picked = F.flatten(F.transform(F.array(grams), lambda g: F.transform(F.array_distinct(lowest(g)), lambda p: F.struct(p.alias("p"), F.lit(window).alias("n"), F.get(g, p).alias("h"), around(p).alias("ctx")))))
+    bound = lambda value, use: F.flatten(F.transform(F.array(value), use))  # noqa: E731  computes `value` once a row
+
+    def lowest(g: Column, have: int = 1) -> Column:
+        """The least of every `run` neighbours, by doubling."""
+        if have == run:
+            return F.transform(F.array_distinct(F.slice(g, 1, size - k - run + 2)), lambda x: _mark(x))
+        step = min(have, run - have)
+        return bound(least_of(g, g, step), lambda m: lowest(m, have + step))
+
+    def _mark(x: Column) -> Column:
+        p = x.bitwiseAND(F.lit(~HASH_MASK)).cast("int")
+        return F.struct(p.alias("p"), F.lit(window).alias("n"), x.bitwiseAND(F.lit(HASH_MASK)).alias("h"), around(p).alias("ctx"))
+
+    picked = bound(grams, lambda g: lowest(g))
     none = F.array().cast("array<struct<p:int,n:int,h:bigint,ctx:array<bigint>>>")
     parts = [F.when(size >= window, picked).otherwise(none)]
     for n in short:
