@@ -41,6 +41,11 @@ def _gram(at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.get(F.col("wh"), at + i) for i in range(n)])
 
 
+def _whole(n: int):
+    """The n-gram at a place, for items that are n words long; made here since transform() would take a default argument for the place."""
+    return lambda i: F.struct(i.cast("int").alias("p"), F.lit(n).alias("n"), _gram(i, n).alias("h"), F.array().cast("array<bigint>").alias("ctx"))
+
+
 def _anchors(window: int, k: int, short: list[int], pad: int, whole_short: bool) -> Column:
     """array<struct<p, n, h, ctx>> of a row with `wh`: winnowed k-grams with context, and the n-grams of short lengths."""
     size, run, reach = F.size("wh"), window - k + 1, window - k
@@ -65,7 +70,7 @@ def _anchors(window: int, k: int, short: list[int], pad: int, whole_short: bool)
     none = F.array().cast("array<struct<p:int,n:int,h:bigint,ctx:array<bigint>>>")
     parts = [F.when(size >= window, picked).otherwise(none)]
     for n in short:
-        whole = F.transform(F.sequence(F.lit(0), size - n), lambda i, n=n: F.struct(i.cast("int").alias("p"), F.lit(n).alias("n"), _gram(i, n).alias("h"), F.array().cast("array<bigint>").alias("ctx")))
+        whole = F.transform(F.sequence(F.lit(0), size - n), _whole(n))
         parts.append(F.when(size == n if whole_short else size >= n, whole).otherwise(none))
     return F.concat(*parts)
 
