@@ -10,7 +10,7 @@ High level: rounds of runs and pairs go on until a text is one symbol. A symbol
 smaller id is a verified repeat (equal names are equal texts), and every window within it is done: it is covered, and it is nobody's first
 occurrence. As symbols of all levels take part, a whole copy is one span, and of a long passage only windows near its ends are left.
 Low level, for the ends of repeats: after `ROUNDS` rounds, Spark finds the symbols that occur in two or more documents. A window that occurs in
-two documents has, in both, the same symbols among those whose context it holds; so one whose inner symbol (that of least hash) is of one document
+two documents has, in both, the same symbols among those whose context it holds; so one whose inner symbol (the longest of them) is of one document
 only occurs nowhere else. What is left are windows whose inner symbol is shared, and the few without any; their hashes are joined, and
 a window's words go where the same hash starts in a document with a smaller id.
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, with_fields, written
+from tidemark.llm.common import free_shuffles, small, with_fields, written
 
 ROUNDS, MOST_ROUNDS = 3, 60
 _U = np.uint64
@@ -61,30 +61,32 @@ class Texts:
             self.owner[at] = i
 
 
-def recompressed(name: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, end, context start, context end) of the symbols after some rounds; ends are exclusive. Borders (owner -1) join nothing."""
-    n = len(name)
+def recompressed(name: np.ndarray, owner: np.ndarray, rounds: int) -> tuple[np.ndarray, ...]:
+    """(name, start, end, context start, context end) of the symbols that each round forms; ends are exclusive. Borders (owner -1) join nothing."""
+    n, found = len(name), []
     # Runs: a maximal run becomes one symbol. That a symbol is no longer a run shows in its neighbours, which are its context.
     first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
     last = np.r_[first[1:], n] - 1
-    name = np.where(last > first, mixed(mixed(name[first], (last - first + 1).astype(_U)), 2), name[first])
+    fresh = last > first
+    name = np.where(fresh, mixed(mixed(name[first], (last - first + 1).astype(_U)), 2), name[first])
     start, left, right = first, np.maximum(first - 1, 0), np.minimum(last + 2, n)
     for r in range(1, rounds + 1):
         # Pairs: a symbol of the left half joins a following one of the right half. One that stays alone has looked that way.
         side = (mixed(name, 1000 + r) >> _U(60)) & _U(1) == 0
         text = owner[start] >= 0
         joins = np.r_[side[:-1] & ~side[1:] & text[:-1] & text[1:], False]
-        joined = np.r_[False, joins[:-1]]
+        if r == 1:
+            found.append([x[fresh] for x in (name, start, np.r_[start[1:], n], left, right)])
         after_left, after_right = np.r_[left[1:], left[-1:]], np.r_[right[1:], right[-1:]]
         before_left, before_right = np.r_[left[:1], left[:-1]], np.r_[right[:1], right[:-1]]
-        l2 = np.minimum(left, np.where(side, after_left, before_left))
-        r2 = np.maximum(right, np.where(side, after_right, before_right))
+        left, right = np.minimum(left, np.where(side, after_left, before_left)), np.maximum(right, np.where(side, after_right, before_right))
         at = np.flatnonzero(joins)
         name = name.copy()
         name[at] = mixed(mixed(name[at], name[at + 1]), 2 * r + 1)
-        keep = ~joined
-        name, start, left, right = name[keep], start[keep], l2[keep], r2[keep]
-    return name, start, np.r_[start[1:], n], left, right
+        keep = ~np.r_[False, joins[:-1]]
+        name, start, left, right, fresh = (x[keep] for x in (name, start, left, right, joins))
+        found.append([x[fresh] for x in (name, start, np.r_[start[1:], n], left, right)])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def passages(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,28 +124,23 @@ def inside(t: Texts, first: list, end: list, window: int) -> np.ndarray:
 def inner(t: Texts, window: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(names, a start of a window of each, each window's symbol by number or -1, open starts).
 
-    Of the symbols whose whole context a window holds, the one with the least hash stands for the window; symbols that stand for no
-    window are left out. Open starts are those of windows that hold no context. Windows that start where `known` is true are left out.
+    Of the symbols whose whole context a window holds, the longest (then that with the greatest name) stands for the window; symbols that stand for
+    no window are left out. Open starts are those of windows that hold no context. Windows that start where `known` is true are left out.
     """
     name, start, end, left, right = recompressed(t.h, t.owner, ROUNDS)
     ok = (t.owner[left] >= 0) & (t.owner[left] == t.owner[right - 1]) & (right - left <= window) & (end - start > 1)
-    name, left, right = name[ok], left[ok], right[ok]
+    name, left, right, size = name[ok], left[ok], right[ok], (end - start)[ok]
     doc = t.owner[left]
     lo, hi = np.maximum(right - window, t.start[doc]), np.minimum(left, t.start[doc] + t.size[doc] - window)
-    ok = hi >= lo
-    name, lo, hi = name[ok], lo[ok], hi[ok]
+    order = np.lexsort((name, size))
+    order = order[(hi >= lo)[order]]
+    name, lo, hi = name[order], lo[order], hi[order]
     width = hi - lo + 1
     at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-    number = np.repeat(np.arange(len(name)), width)
-    new = ~known[at]
-    at, number = at[new], number[new]
-    spread = mixed(name, 5)[number]
-    least = np.full(len(t.h), np.iinfo(_U).max, _U)
-    np.minimum.at(least, at, spread)
-    # The symbol of each window, by its number among all; then by its number among the chosen.
+    # In ascending order, so that the last to be written to a window's start stands for it.
     symbol = np.full(len(t.h), -1, np.int64)
-    best = least[at] == spread
-    symbol[at[best]] = number[best]
+    symbol[at] = np.repeat(np.arange(len(name)), width)
+    symbol[known] = -1
     chosen, place = np.unique(symbol[symbol >= 0], return_inverse=True)
     symbol[symbol >= 0] = place
     fits = (t.owner >= 0) & ~known
@@ -196,6 +193,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     first = long.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name", "a")
     spans = long.join(first, "name").where("doc_id > a").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = written(spans.select("doc_id", F.col("spans.start").alias("span_first"), F.col("spans.end").alias("span_end")), "spans")
+    free_shuffles(docs.sparkSession)
     docs = docs.join(small(spans), "doc_id", "left")
 
     def symbols(batches):
@@ -209,6 +207,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             yield _batch(t, rows.column("doc_id"), windows(t.h, free, window), free, True)
 
     found = written(docs.mapInArrow(symbols, schema), "symbols")
+    free_shuffles(docs.sparkSession)
     names = found.where("not open").select("name", "doc_id")
     shared = names.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
     of_doc = names.join(shared, "name").groupBy("doc_id").agg(F.collect_list("name").alias("shared"))
@@ -231,6 +230,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             yield _batch(t, rows.column("doc_id"), windows(t.h, at, window), at, True)
 
     spots = written(texts.mapInArrow(candidates, schema).unionAll(found.where("open")).select(F.col("name").alias("hash"), "doc_id", "start"), "windows")
+    free_shuffles(docs.sparkSession)
     first = spots.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = spots.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     # Starts that follow each other without a gap between their windows are one span.
