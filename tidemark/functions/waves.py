@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the manual's formulas and of unit conversion.
-G = 9.81
+G = 9.80665
 KT_TO_MS = 0.5144444
 FULL_HEIGHT, FULL_PERIOD = 0.2433, 8.134
 METRES_PER_INCH = 0.0254

@@ -134,9 +134,9 @@ def universal_quantifier(spark, d):
 
 
 UA = "(0.71::DOUBLE * pow(l_quantity * 0.5144444::DOUBLE, 1.23::DOUBLE))"
-FETCH = f"(9.81::DOUBLE * l_extendedprice / pow({UA}, 2))"
-HS = f"(least(1.6e-3::DOUBLE * sqrt({FETCH}), 0.2433::DOUBLE) * pow({UA}, 2) / 9.81::DOUBLE)"
-TP = f"(least(0.2857::DOUBLE * cbrt({FETCH}), 8.134::DOUBLE) * {UA} / 9.81::DOUBLE)"
+FETCH = f"(9.80665::DOUBLE * l_extendedprice / pow({UA}, 2))"
+HS = f"(least(1.6e-3::DOUBLE * sqrt({FETCH}), 0.2433::DOUBLE) * pow({UA}, 2) / 9.80665::DOUBLE)"
+TP = f"(least(0.2857::DOUBLE * cbrt({FETCH}), 8.134::DOUBLE) * {UA} / 9.80665::DOUBLE)"
 
 
 @query(f"SELECT l_orderkey, l_linenumber, l_partkey, round({HS}, 4) AS hs_m, round({TP}, 3) AS tp_s, CAST(floor({HS} / 0.0254::DOUBLE + 0.5) AS BIGINT) AS hs_in FROM lineitem")
