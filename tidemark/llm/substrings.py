@@ -9,9 +9,9 @@ context has that symbol at the same place.
 High level: rounds of runs and pairs go on until a text is one symbol. A symbol of two windows or more that also occurs in a document with a
 smaller id is a verified repeat (equal names are equal texts), and every window within it is done: it is covered, and it is nobody's first
 occurrence. As symbols of all levels take part, a whole copy is one span, and of a long passage only windows near its ends are left.
-Low level, for the ends of repeats: after `ROUNDS` rounds, Spark finds the symbols that occur in two or more documents. A window that occurs in
-two documents has, in both, the same symbols among those whose context it holds; so one whose inner symbol (the longest of them) is of one document
-only occurs nowhere else. What is left are windows whose inner symbol is shared, and the few without any; their hashes are joined, and
+Low level, for the ends of repeats: after `ROUNDS` rounds, Spark finds the symbols whose contexts occur in two or more documents. A window that occurs in
+two documents has, in both, the same symbols among those whose context it holds; so one whose inner symbol (that with the shortest context) has a
+context that one document alone holds occurs nowhere else. What is left are windows whose inner symbol is shared, and the few without any; their hashes are joined, and
 a window's words go where the same hash starts in a document with a smaller id.
 
 Scale: passes over the texts for each level and shuffles of symbols (about a sixth of the words) and of the windows left; counts are partial
@@ -121,18 +121,31 @@ def inside(t: Texts, first: list, end: list, window: int) -> np.ndarray:
     return np.cumsum(mark)[:-1] > 0
 
 
+def span_keys(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words h[first:end] of each span, from prefix sums of a polynomial modulo 2^64. Spans with equal words have equal keys."""
+    base = 0x9E3779B97F4A7C15
+    power, inverse = np.full(len(h), base, _U), np.full(len(h), pow(base, -1, 1 << 64), _U)
+    power[0] = inverse[0] = 1
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    sums = np.r_[_U(0), np.cumsum(h * power)]
+    return mixed((sums[end] - sums[first]) * inverse[first], (end - first).astype(_U))
+
+
 def inner(t: Texts, window: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, a start of a window of each, each window's symbol by number or -1, open starts).
+    """(keys, a start of a window of each, each window's symbol by number or -1, open starts).
 
-    Of the symbols whose whole context a window holds, the longest (then that with the greatest name) stands for the window; symbols that stand for
-    no window are left out. Open starts are those of windows that hold no context. Windows that start where `known` is true are left out.
+    Of the symbols whose whole context a window holds, that with the shortest context (then that with the greatest key) stands for the window, as it
+    stands for the most windows; symbols that stand for no window are left out. A symbol's key is a hash of its context's words, which every occurrence
+    of the window holds too and fewer other texts share than the symbol. Open starts are those of windows that hold no context. Windows that
+    start where `known` is true are left out.
     """
-    name, start, end, left, right = recompressed(t.h, t.owner, ROUNDS)
+    _, start, end, left, right = recompressed(t.h, t.owner, ROUNDS)
     ok = (t.owner[left] >= 0) & (t.owner[left] == t.owner[right - 1]) & (right - left <= window) & (end - start > 1)
-    name, left, right, size = name[ok], left[ok], right[ok], (end - start)[ok]
+    left, right = left[ok], right[ok]
+    name = span_keys(t.h, left, right)
     doc = t.owner[left]
     lo, hi = np.maximum(right - window, t.start[doc]), np.minimum(left, t.start[doc] + t.size[doc] - window)
-    order = np.lexsort((name, size))
+    order = np.lexsort((name, left - right))
     order = order[(hi >= lo)[order]]
     name, lo, hi = name[order], lo[order], hi[order]
     width = hi - lo + 1
@@ -229,7 +242,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             at = at[known[symbol[at]]]
             yield _batch(t, rows.column("doc_id"), windows(t.h, at, window), at, True)
 
-    spots = written(texts.mapInArrow(candidates, schema).unionAll(found.where("open")).select(F.col("name").alias("hash"), "doc_id", "start"), "windows")
+    spots = written(texts.mapInArrow(candidates, schema), "windows").unionAll(found.where("open")).select(F.col("name").alias("hash"), "doc_id", "start")
     free_shuffles(docs.sparkSession)
     first = spots.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = spots.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
