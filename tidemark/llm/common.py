@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that `written` made and that no later step reads."""
+    spark = table.sparkSession
+    for name in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: executors keep them on disk until the driver has collected the frames that made them."""
     gc.collect()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_shuffles, small, with_fields, written
+from tidemark.llm.common import discard, free_shuffles, small, with_fields, written
 
 ROUNDS, MOST_ROUNDS = 3, 60
 _U = np.uint64
@@ -203,9 +203,11 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             yield b.set_column(3, "end", pa.array((end - t.start[t.owner[start]]).astype(np.int32)))
 
     long = written(docs.mapInArrow(high, f"name long, doc_id {id_field}, start int, end int"), "passages")
-    first = long.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name", "a")
+    # Counts are mostly 1 and take less of a shuffle than a greatest doc_id; what one document repeats is counted too and joins with nothing.
+    first = long.groupBy("name").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("name", "a")
     spans = long.join(first, "name").where("doc_id > a").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     spans = written(spans.select("doc_id", F.col("spans.start").alias("span_first"), F.col("spans.end").alias("span_end")), "spans")
+    discard(long)
     free_shuffles(docs.sparkSession)
     docs = docs.join(small(spans), "doc_id", "left")
 
@@ -222,7 +224,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     found = written(docs.mapInArrow(symbols, schema), "symbols")
     free_shuffles(docs.sparkSession)
     names = found.where("not open").select("name", "doc_id")
-    shared = names.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("name")
+    shared = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     of_doc = names.join(shared, "name").groupBy("doc_id").agg(F.collect_list("name").alias("shared"))
     texts = docs.join(of_doc, "doc_id")
 
@@ -244,7 +246,7 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     spots = written(texts.mapInArrow(candidates, schema), "windows").unionAll(found.where("open")).select(F.col("name").alias("hash"), "doc_id", "start")
     free_shuffles(docs.sparkSession)
-    first = spots.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = spots.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = spots.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     # Starts that follow each other without a gap between their windows are one span.
     opens = F.filter(F.transform("starts", lambda x, i: F.when((i == 0) | (x > F.get(F.col("starts"), i - 1) + window), x)), lambda x: x.isNotNull())
