@@ -1,5 +1,6 @@
 """Each corpus operator against a brute-force version or SQL on small frames with the awkward cases: nulls, empty texts, ties, repeats, clashing columns."""
 
+import gzip
 import random
 import zlib
 from collections import Counter
@@ -129,6 +130,43 @@ def test_warc_reports_what_is_missing(spark, tmp_path):
     assert r.payload is None and r.error
 
 
+@pytest.mark.parametrize("packed", [open, gzip.open])
+def test_warc_records_that_end_at_a_buffers_end(spark, tmp_path, packed):
+    record = lambda k, n: next(warc.response_records(f"<urn:{k}>", [("Tidemark-Key", k)], b"y" * n, 1 << 20))
+    over = len(record("00", 65_000)) - 65_000
+    for at in range(30):
+        first = record(f"{at:02}", 65_536 - over - at)
+        assert len(first) == 65_536 - at
+        with packed(tmp_path / f"{at}.warc{'.gz' if packed is gzip.open else ''}", "wb") as f:
+            f.write(b"".join(r + warc.END for r in (first, record(f"{at + 50}", 9))))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(x.key for x in got) == sorted(f"{x:02}" for at in range(30) for x in (at, at + 50)) and not any(x.error for x in got)
+
+
+def test_warc_version_lines_at_every_border(spark, tmp_path):
+    line = b"\r\nWARC/1.1"
+    pages = [(i, "http://x/WARC/1.1", b"z" * i + line + tail) for i in range(60, 130) for tail in (b"", b"\r\n" + line)] + [(1, "WARC/1.1", line[2:])]
+    pages = [(i, u, p) for i, (_, u, p) in enumerate(pages)]
+    for payload in (p for _, _, p in pages):
+        records = list(warc.response_records("<urn:a>", [], payload, 100))
+        assert all((r[1:] + warc.END).count(warc.SEPARATOR) == 0 for r in records)
+        assert b"".join(r.partition(warc.END)[2] for r in records).endswith(warc.chunked(payload)) and warc.dechunked(warc.chunked(payload, 70)) == payload
+        assert warc.SEPARATOR not in warc.chunked(payload, 70)
+    warc.write_archives(frame(spark, pages, "key long, uri string, payload binary"), str(tmp_path / "w"), segment_bytes=100)
+    got = {int(x.key): x for x in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert {k: (x.uri, bytes(x.payload), x.error) for k, x in got.items()} == {k: (u, p, None) for k, u, p in pages}
+
+
+def test_warc_blocks_of_others_that_hold_version_lines(spark, tmp_path):
+    bodies = [b"a\r\nWARC/1.1\r\nb", b"\r\nWARC/1.1\r\n\r\nWARC/1.1\r\n", b"WARC/1.1\r\nWARC/1.1\r\n", b"plain"]
+    records = [warc.record("response", f"<urn:{i}>", [("Tidemark-Key", i)], warc.HTTP + b"\r\n" + b) for i, b in enumerate(bodies)]
+    cut = warc.record("response", "<urn:9>", [("Tidemark-Key", 9)], warc.HTTP + b"\r\n" + b"long")[:-2]
+    (tmp_path / "f.warc").write_bytes(b"".join(r + warc.END for r in [cut, *records]))
+    got = {int(x.key): x for x in warc.read_archives(spark, str(tmp_path / "f.warc")).collect()}
+    assert got.keys() == {0, 1, 2, 3, 9} and got[9].payload is None and got[9].error
+    assert [(bytes(got[i].payload), got[i].error) for i in range(4)] == [(b, None) for b in bodies]
+
+
 @pytest.mark.parametrize("room", [256 << 20, 0])
 def test_language_model_base_and_mass(spark, room):
     rows = corpus(11)

@@ -5,8 +5,10 @@ become revisit records. A response's block is an HTTP message in chunked framing
 record and continuation records that name it as their origin, numbered from 1, the last with the total length. Archives are gzipped
 text of Spark's own writer with the record terminator as line separator, so they go wherever Spark can write, one file a task.
 
-Reading: records are split at the terminator that is followed by a version line (a version line within a payload gets a chunk
-boundary inside it, so none stands in a block), fields are parsed, continuation records are grouped by their origin's id, put in order
+Reading: records are split at version lines. In what is written here none stands in a block: one within a payload gets a chunk boundary
+inside it, and no chunk or segment ends where its line break would complete one. Other writers' blocks may hold some: a piece without a
+record's fields goes back to the block before it while that is short of its Content-Length (not if a split of a plain file starts between
+them, nor if the piece looks like a record of its own). Then fields are parsed, continuation records are grouped by their origin's id, put in order
 by segment number, checked for gaps and for the total length, joined, and decoded from chunked framing. Revisits get their
 payload's length and digest from the record they refer to.
 
@@ -21,6 +23,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,9 @@ from tidemark.llm.common import written
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
+#: No match of this that fails holds the start of another, so a reader that cannot step back over its buffer misses none, as it would with END before VERSION.
+SEPARATOR = b"\r\n" + VERSION
+LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 CHUNK = 8192
 RECORD = "record_id string, type string, key string, uri string, refers_to string, origin string, segment int, total long, payload binary, payload_bytes long, payload_digest string, error string"
@@ -38,10 +45,11 @@ TYPES = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
-    """Chunked transfer framing, with a boundary inside every version line that the payload holds, so no block can look like a record's start."""
+    """Chunked transfer framing, with a boundary inside every version line that the payload holds or a chunk's end would make, so no block can look like a record's start."""
     pieces = payload.split(VERSION)
     parts = [(VERSION[2:] if i else b"") + p + (VERSION[:2] if i < len(pieces) - 1 else b"") for i, p in enumerate(pieces)]
-    out = [b"%x\r\n%b\r\n" % (len(c), c) for p in parts for i in range(0, len(p), size) if (c := p[i : i + size])]
+    cut = [c for p in parts for i in range(0, len(p), size) if (c := p[i : i + size])]
+    out = [b"%x\r\n%b\r\n" % (len(c), c) for x in cut for c in ((x[:-1], x[-1:]) if x.endswith(VERSION[:-2]) else (x,))]
     return b"".join([*out, b"0\r\n\r\n"])
 
 
@@ -72,14 +80,18 @@ def response_records(record_id: str, fields: list[tuple[str, object]], payload:
     if len(block) <= segment_bytes:
         yield record("response", record_id, fields, block)
         return
-    count = -(-len(block) // segment_bytes)
-    for i in range(count):
-        part = block[i * segment_bytes : (i + 1) * segment_bytes]
+    i = at = 0
+    while at < len(block):
+        part = block[at : at + segment_bytes]
+        if part.endswith(VERSION[:-2]):  # with the terminator it would make a version line
+            part = part[:-1]
+        at += len(part)
         if i == 0:
             yield record("response", record_id, [*fields, ("WARC-Segment-Number", 1)], part)
         else:
-            own = [("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", i + 1), ("WARC-Segment-Total-Length", len(block) if i == count - 1 else None)]
+            own = [("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", i + 1), ("WARC-Segment-Total-Length", len(block) if at == len(block) else None)]
             yield record("continuation", f"{record_id[:-1]}:{i + 1}>", own, part)
+        i += 1
 
 
 def write_archives(rows: DataFrame, path: str, min_revisit: int = 1000, segment_bytes: int = 16_384) -> None:
@@ -130,6 +142,30 @@ def _decoded(block: bytes) -> tuple[bytes | None, int | None, str | None, str |
         return None, None, None, str(e)
 
 
+def _whole(pieces):
+    """Records from what stands between separators, (file, whether the file goes on behind this split, bytes): a piece without a record's fields is part
+    of the block before it, if that is short of its Content-Length. The first half of the terminator, which the separator left, goes."""
+    held, short, of, on = [], 0, None, False
+
+    def joined(followed):
+        value = SEPARATOR.join(held)
+        return value.removesuffix(b"\r\n") if followed else value
+
+    for file, more, piece in pieces:
+        end = piece.find(END)
+        head = b"\r\n" + piece[: max(0, end)].lower()
+        if short > 0 and file == of and b"\r\nwarc-record-id:" not in head:
+            held.append(piece)
+            short -= len(SEPARATOR) + len(piece)
+            continue
+        if any(held):
+            yield joined(file == of or on)
+        length = LENGTH.search(head)
+        held, short, of, on = [piece], end + len(END) + int(length[1]) - len(piece) if length else 0, file, more
+    if any(held):
+        yield joined(on)
+
+
 def _parsed(value: bytes, payloads: bool) -> tuple:
     head, sep, block = value.removeprefix(VERSION).partition(END)
     f = {}
@@ -161,11 +197,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     With `payloads` false, `payload` is null, and lengths and digests are still those of whole payloads.
     """
-    lines = spark.read.option("lineSep", (END + VERSION).decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    lines = spark.read.option("lineSep", SEPARATOR.decode()).text(path)
+    more = F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length") < F.col("_metadata.file_size")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), more.alias("more"), F.col("value").cast("binary").alias("value"))
 
     def parse(batches):
-        for batch in batches:
-            yield _batch([_parsed(v, payloads) for v in batch.column(0).to_pylist() if v])
+        whole = _whole(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        while rows := [_parsed(v, payloads) for v in itertools.islice(whole, 1000)]:
+            yield _batch(rows)
 
     parsed = written(lines.mapInArrow(parse, RECORD), "warc-records")
     whole = parsed.where("segment is null and type in ('response', 'revisit')").drop("origin", "segment", "total")
