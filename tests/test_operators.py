@@ -52,6 +52,15 @@ def test_nearest_in_time_ties_and_limits(spark):
     assert rows(series.nearest_in_time(left, right, ["k"], "ts", "at", "near", 30).select("id", "near"), "id") == [(1, 8), (2, None)]
 
 
+@pytest.mark.parametrize("bucket_hours", [3, 1e-7])
+def test_in_periods_against_brute_force(spark, bucket_hours):
+    at = lambda us: T0 + timedelta(microseconds=us)
+    events = [(i, at(us)) for i, us in enumerate([0, 1, 999, 1000, 1001, 2500, 2500, -1, 999_999, 1_000_000])] + [(99, None)]
+    periods = [(1, at(0), at(1000)), (2, at(1000), at(1001)), (3, at(5), at(5)), (4, at(-3), at(2501)), (5, None, at(9)), (6, at(999_999), at(1_000_001)), (7, at(9), at(3))]
+    got = rows(series.in_periods(spark.createDataFrame(events, "id int, ts timestamp"), spark.createDataFrame(periods, "p int, s timestamp, e timestamp"), "ts", "s", "e", bucket_hours).select("id", "p"), "id", "p")
+    assert got == sorted((i, p) for i, t in events for p, s, e in periods if t and s and s <= t < e)
+
+
 def test_knn_widens_until_it_has_enough(spark):
     left = spark.createDataFrame([(1, 45.0, -85.0)], "id int, lat double, lon double")
     right = spark.createDataFrame([(1, 45.0, -85.1), (2, 45.0, -75.0), (3, 30.0, -85.0)], "id int, lat double, lon double")

@@ -34,3 +34,11 @@ def test_query(spark, duck, name):
     cols = [c[0] for c in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert got == sorted(repr(plain([r[cols.index(c)] for c in df.columns])) for r in cur.fetchall())
+
+
+def test_periods_of_all_orders_take_part(spark):
+    found = registry.queries()["interval_join_whole"](spark, SF)
+    events, orders = spark.read.parquet(f"{SF}/events.parquet").count(), spark.read.parquet(f"{SF}/orders.parquet").count()
+    # An event is in three of the periods on average, and a period is 1 to 5 steps long, so no range of ids stays out.
+    assert 2.5 * events < found.count() < 3.5 * events
+    assert found.selectExpr(f"floor(p * 10 / {orders}) as tenth").distinct().count() == 10 and found.select("p").distinct().count() > orders / 2

@@ -92,9 +92,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_ts:
     return out.select(*left.columns, F.col("_n._t").alias(right_ts), F.col("_n._id").alias(right_id))
 
 
-def in_periods(rows: DataFrame, periods: DataFrame, ts: str, start: str, end: str, bucket_hours: int) -> DataFrame:
-    """Rows joined with the periods [start, end) that hold them; periods are posted under the time buckets they touch."""
-    width = bucket_hours * 3600
-    bucket = lambda c: F.floor(F.unix_seconds(c) / width)
+def in_periods(rows: DataFrame, periods: DataFrame, ts: str, start: str, end: str, bucket_hours: float) -> DataFrame:
+    """Rows joined with the periods [start, end) that hold them; periods are posted under the time buckets they touch, which may be shorter than a second."""
+    width = max(1, round(bucket_hours * 3_600_000_000))
+    bucket = lambda c: F.floor(F.unix_micros(c) / width)
     posted = periods.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
     return rows.withColumn("_b", bucket(F.col(ts))).join(posted, "_b").where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_b")

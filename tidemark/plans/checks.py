@@ -260,6 +260,20 @@ def interval_join(spark, d):
     return series.in_periods(read(spark, d, "events").select("event_id", "ts"), p, "ts", "s", "e", 3).select("event_id", "p")
 
 
+@query("""WITH b AS (SELECT epoch_us(min(ts)) AS low, (epoch_us(max(ts)) - epoch_us(min(ts))) // greatest(1, (SELECT count(*) FROM orders)) + 1 AS step, (SELECT count(*) FROM orders) AS n FROM events),
+p AS (SELECT o_orderkey AS p, unnest(range(o_orderkey * 7919 % n, o_orderkey * 7919 % n + 1 + o_orderkey % 5)) AS slot FROM orders, b)
+SELECT event_id, p FROM (SELECT event_id, (epoch_us(ts) - low) // step AS slot FROM events, b) JOIN p USING (slot)""")
+def interval_join_whole(spark, d):
+    """A period for each order, spread over the whole time of the events; a period is as much shorter as there are more, so an event is in about 3 at any size."""
+    e, o = read(spark, d, "events").select("event_id", "ts"), read(spark, d, "orders").select(F.col("o_orderkey").alias("p"))
+    low, high = (x or 0 for x in e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first())
+    n = max(1, o.count())
+    step, k = (high - low) // n + 1, F.col("p")
+    at = lambda steps: F.timestamp_micros(F.lit(low) + F.lit(step) * steps)
+    p = o.select("p", at(k * 7919 % n).alias("s"), at(k * 7919 % n + 1 + k % 5).alias("e"))
+    return series.in_periods(e, p, "ts", "s", "e", 3 * step / 3_600_000_000).select("event_id", "p")
+
+
 @query("""WITH h AS (SELECT user_id % 20 AS k, CAST(ts AS DATE) AS day, CAST(least(2, count(*) // 10) AS INTEGER) AS rank, max(value) AS gust FROM events GROUP BY ALL),
 w AS (SELECT *, lag(rank) OVER o AS r, lag(gust) OVER o AS g FROM h WINDOW o AS (PARTITION BY k ORDER BY day))
 SELECT k, CAST(day AS VARCHAR) AS day, CASE WHEN r IS NULL THEN NULL WHEN rank < r THEN 'improving' WHEN rank > r THEN 'worsening' WHEN gust - g >= 3 THEN 'worsening' WHEN gust - g <= -3 THEN 'improving' ELSE 'steady' END AS trend FROM w""")
