@@ -184,6 +184,29 @@ def test_language_model_base_and_mass(spark, room):
     assert empty.count() == 0
 
 
+def test_language_model_splits_what_one_shard_is_asked(spark, monkeypatch):
+    rows = corpus(13) + [(1000 + i, "hot line " * 50 + f"rare{i} rare{i}") for i in range(40)]
+    docs = frame(spark, rows).repartition(8)
+    found = lambda **kw: {x.doc_id: x for x in ngram_lm.score(docs, F.lit(True), **kw).collect()}
+    whole = found()
+    monkeypatch.setattr(ngram_lm, "HEAD_WORDS", 12)
+    for kw in ({"max_broadcast": 0, "group_bytes": 100}, {"group_bytes": 100}):
+        got = found(**kw)
+        assert got.keys() == whole.keys()
+        for d, x in got.items():
+            assert (x.n_tokens, x.n_known) == (whole[d].n_tokens, whole[d].n_known)
+            assert (x.base_score, x.score) == pytest.approx((whole[d].base_score, whole[d].score))
+
+
+def test_language_model_groups_are_bounded(spark):
+    packs = frame(spark, [(0 if i else 1, bytes([i % 250, i // 250]) * 8, b"r" * 16, None, None, b"n" * 8) for i in range(2000)], "shard int, keys binary, rids binary, befores binary, singles binary, ns binary")
+    left, right = ngram_lm.dealt(packs, frame(spark, [(0, 1), (1, 1), (2, 1)], "shard int, m long"), 4000)
+    sizes = {(x.shard, x.salt): x["count"] for x in left.groupBy("shard", "salt").count().collect()}
+    assert sum(sizes.values()) == 2000 and max(sizes.values()) * 40 < 2 * 4000 and sizes.keys() == {(x.shard, x.salt) for x in right.collect()} and right.count() == len(sizes)
+    one, times = ngram_lm._summed(np.array([5, 7, 5, 5], np.uint64), np.array([0, 0, 0, 1]))
+    assert (sorted(zip(one.tolist(), times.tolist())), len(ngram_lm._summed(np.array([], np.uint64), np.array([], int))[0])) == ([(0, 2), (1, 1), (3, 1)], 0)
+
+
 def test_quality_learns_and_takes_anything():
     good, bad = ["the river runs down to the sea"] * 60, ["buy buy buy cheap cheap pills now"] * 60
     one = quality.train(good + bad, [1] * 60 + [0] * 60).scorer()

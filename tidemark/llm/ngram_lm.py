@@ -11,7 +11,9 @@ workers, and for other words from a join with the full table.
 
 Scale: counts are summed within a task's portion of texts, packed into binary rows by hash shard, and merged a shard a task; shards are sized
 to a bounded share of the corpus. The pair filter grows with the corpus: up to `max_broadcast` bytes it is broadcast; beyond that it
-stays in shards, tokens are dealt to their pair's shard, and the partial sums of a document are added up. No row is a single token on either way.
+stays in shards, a portion's tokens, summed by document and pair, are dealt to their pair's shard, and the partial sums of a document are
+added up. Words outside the head go the same way. A shard that is asked more than `group_bytes` answers in several groups, each with a copy of
+its filter, so a frequent pair or word is no one task's. No row is a single token on either way.
 The word filter (about a tenth of the pairs' size, growing as the vocabulary) is always broadcast.
 
 Edge cases: null and blank texts are the end token alone; with nothing learned, N = V = 0 and every token has probability 1; rows that repeat a
@@ -36,6 +38,7 @@ BASE = 1.5
 PROBES = 5
 BITS = 9
 SHARD_BYTES = 24 << 20
+GROUP_BYTES = 64 << 20
 HEAD_WORDS = 1 << 18
 _U = np.uint64
 END = xxhash.xxh3_64_intdigest(b" end")
@@ -165,6 +168,23 @@ def learn(docs: DataFrame, shards: int) -> DataFrame:
     return written(merged, "lm-shards")
 
 
+def _summed(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct (row, key), and how often it occurs."""
+    order = np.lexsort((keys, row))
+    k, r = keys[order], row[order]
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])][: len(k)])
+    return order[first], np.diff(np.r_[first, len(k)]).astype(np.uint32)
+
+
+def dealt(packs: DataFrame, tables: DataFrame, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a `salt`: a shard's packs in groups of about `group_bytes` (a pack is never cut), and its row of `tables` once for each group."""
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", "rids", "befores", "singles", "ns")), F.lit(0).cast("long"))
+    salts = F.broadcast(packs.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(length) / group_bytes)).alias("salts")))
+    salt = F.pmod(F.xxhash64("keys", "rids"), F.col("salts")).alias("salt")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    return packs.join(salts, "shard").select(*packs.columns, salt), tables.join(salts, "shard").select(*tables.columns, copies)
+
+
 def _head(shards: int):
     def run(batches):
         for b in batches:
@@ -176,7 +196,7 @@ def _head(shards: int):
     return run
 
 
-def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20) -> DataFrame:
+def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`, learning from those where `training` holds."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -196,10 +216,10 @@ def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20) ->
     shared = spark.sparkContext.broadcast((filters, head))
     del filters
     below = math.log10(tokens + vocabulary + 1)
-    names = ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "shard", "keys", "rids", "befores", "singles"]
+    names = ["rid", "doc_id", "n_tokens", "n_known", "base_score", "score", "shard", "keys", "rids", "befores", "singles", "ns"]
     docs = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"rid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, shard int, keys binary, rids binary, befores binary, singles binary"
+    schema = f"rid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, shard int, keys binary, rids binary, befores binary, singles binary, ns binary"
 
     def run(batches):
         (of_word, of_pair), (known, counts) = shared.value
@@ -218,48 +238,53 @@ def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20) ->
                 total = np.bincount(row, pair_log10(VALUES[of_pair.levels(key)], before, single, b), n)
             else:
                 total = np.zeros(n)
-                place = (key % _U(shards)).astype(np.int32)
+                one, times = _summed(key, row)
+                place = (key[one] % _U(shards)).astype(np.int32)
                 for s in np.unique(place):
-                    m = place == s
-                    packs.append((shards + int(s), (key[m] >> _U(32)).tobytes(), rid[row[m]].tobytes(), before[m].tobytes(), single[m].tobytes()))
+                    m = one[place == s]
+                    packs.append((shards + int(s), (key[m] >> _U(32)).tobytes(), rid[row[m]].tobytes(), before[m].tobytes(), single[m].tobytes(), times[place == s].tobytes()))
             rare, owner = h[~seen], row[~seen]
+            one, times = _summed(rare, owner)
+            rare, owner = rare[one], owner[one]
             place = (mixed(rare, 3) % _U(shards)).astype(np.int32)
             for s in np.unique(place):
                 m = place == s
-                packs.append((int(s), rare[m].tobytes(), rid[owner[m]].tobytes(), None, None))
+                packs.append((int(s), rare[m].tobytes(), rid[owner[m]].tobytes(), None, None, times[m].tobytes()))
             k = len(packs)
             gap = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
-            full = [pa.concat_arrays([pa.nulls(n, t), pa.array([p[j] for p in packs], t)]) for j, t in enumerate((pa.int32(), *[pa.binary()] * 4))]
+            full = [pa.concat_arrays([pa.nulls(n, t), pa.array([p[j] for p in packs], t)]) for j, t in enumerate((pa.int32(), *[pa.binary()] * 5))]
             ids = pa.concat_arrays([part.column("doc_id"), pa.nulls(k, part.schema.field("doc_id").type)])
             yield pa.RecordBatch.from_arrays([gap(rid, pa.int64()), ids, gap(np.bincount(row, minlength=n), pa.int64()), gap(np.bincount(row, seen, n).astype(np.int64), pa.int64()), gap(base, pa.float64()), gap(total, pa.float64()), *full], names)
 
     out = written(docs.mapInArrow(run, schema), "lm-scores")
 
     def rest(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Partial sums of a shard: exact logs of rare words, or probabilities of pairs."""
+        """Partial sums of a group of a shard's packs: exact logs of rare words, or probabilities of pairs."""
         empty = pa.table({"rid": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         if not len(left):
             return empty
         rid = np.frombuffer(b"".join(left["rids"].to_pylist()), np.int64)
         keys = np.frombuffer(b"".join(left["keys"].to_pylist()), _U)
+        times = np.frombuffer(b"".join(left["ns"].to_pylist()), np.uint32)
         who, at = np.unique(rid, return_inverse=True)
         n_known, base, total = np.zeros(len(who), np.int64), np.zeros(len(who)), np.zeros(len(who))
         if left["befores"][0].is_valid:
             before, single = (np.frombuffer(b"".join(left[c].to_pylist()), np.float64) for c in ("befores", "singles"))
             own = Filter(1, [{"shard": 0, "m": r["m"], "bits": r["bits"]} for r in right.select(["m", "bits"]).to_pylist()])
-            total = np.bincount(at, pair_log10(VALUES[own.levels(keys << _U(32))], before, single, b), len(who))
+            total = np.bincount(at, times * pair_log10(VALUES[own.levels(keys << _U(32))], before, single, b), len(who))
         elif len(right):
             w, c = np.frombuffer(right["words"][0].as_py(), _U), np.frombuffer(right["counts"][0].as_py(), np.int64)
             i = np.minimum(np.searchsorted(w, keys), len(w) - 1)
             found = w[i] == keys
-            n_known = np.bincount(at, found, len(who)).astype(np.int64)
-            base = np.bincount(at, np.where(found, np.log10(c[i] + 1), 0.0), len(who))
+            n_known = np.bincount(at, times * found, len(who)).astype(np.int64)
+            base = np.bincount(at, np.where(found, times * np.log10(c[i] + 1), 0.0), len(who))
         return pa.table({"rid": pa.array(who), "n_known": pa.array(n_known), "base_score": pa.array(base), "score": pa.array(total)})
 
-    packs = out.where("shard is not null").select("shard", "keys", "rids", "befores", "singles")
+    packs = out.where("shard is not null").select("shard", "keys", "rids", "befores", "singles", "ns")
     tables = table.where("kind = 0").withColumn("bits", F.lit(b"")) if local else table
     tables = tables.select((F.col("shard") + F.col("kind") * shards).alias("shard"), "m", "bits", "words", "counts")
-    added = packs.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(rest, "rid long, n_known long, base_score double, score double")
+    packs, tables = dealt(packs, tables, group_bytes)
+    added = packs.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInArrow(rest, "rid long, n_known long, base_score double, score double")
     whole = out.where("shard is null").select("rid", "doc_id", "n_tokens", "n_known", "base_score", "score")
     both = whole.unionByName(added.select("rid", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), "n_known", "base_score", "score"))
     return both.groupBy("rid").agg(
