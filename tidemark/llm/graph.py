@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,5 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()
-        edges = written(small, "edges")
+        edges, old = written(small, "edges"), edges
+        discard(old)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(edges.select("lo", "lo").distinct())

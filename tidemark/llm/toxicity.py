@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import labelled_sample, with_fields
+from tidemark.llm.common import labelled_sample, short_batches, with_fields
 from tidemark.llm.words import WordTable
 
 SPAN, SYMBOLS, GRAM = 5, 32, 3
@@ -197,14 +197,15 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, s: Settings = Settings()) -> Model:
-    """Fit on the texts of `docs` and the column `label` (0 or 1) of `labels`, on about `max_docs` of them at most."""
-    rows = labelled_sample(docs, labels, label, s.max_docs).toArrow()
-    return train(rows["text"].to_pylist(), rows["label"].to_pylist(), s)
+    """Fit on the texts of `docs` and the column `label` (0 or 1) of `labels`, on `max_docs` of them at most."""
+    rows = labelled_sample(docs, labels, label, s.max_docs)
+    return train([t for t, _ in rows], [y for _, y in rows], s)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with a column `score`, the probability that a row's whole text is toxic."""
     docs = docs.drop("score")
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
