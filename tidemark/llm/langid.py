@@ -1,11 +1,11 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are the character n-grams (1 to 3) of lower-cased words between edge marks, hashed; a document's value is its share of the n-gram
-times the n-gram's inverse document frequency. Weights are learned by follow-the-regularised-leader (FTRL-proximal) with
+Features are the character n-grams (1 to 3) of lower-cased words' letters between edge marks, hashed; a document's value is its share of the
+n-gram times the n-gram's inverse document frequency. Weights are learned by follow-the-regularised-leader (FTRL-proximal) with
 elastic-net penalties, so most are exactly 0; a temperature, fitted on rows that training left aside, calibrates the probabilities.
 
-Scale: training sees at most `max_docs` rows (a parameter); scoring is one pass without a shuffle, and a word's class scores are
-computed once for each distinct word of a worker.
+Scale: training sees at most `max_docs` rows (a parameter), as even over the languages as they allow, so rare ones are learned too; scoring is one
+pass without a shuffle over arrays of code points, a slice of texts at a time.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; so is every text if nothing was learned; rows with a null
 language are never learned from; ties go to the language that comes first in code point order.
@@ -13,16 +13,15 @@ language are never learned from; ties go to the language that comes first in cod
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import sample_rows, with_fields
-from tidemark.llm.words import WordTable
+from tidemark.llm.common import sample_of, short_batches, slices, with_fields
 
 
 @dataclass(frozen=True)
@@ -39,13 +38,46 @@ class Settings:
     seed: int = 9
 
 
-def features(word: bytes, s: Settings) -> list[int]:
-    """Buckets of the n-grams of a word's letters; none for a word without letters."""
-    letters = "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
-    if not letters:
-        return []
-    w = f"_{letters}_"
-    return [zlib.crc32(w[i : i + n].encode()) % s.buckets for n in s.grams for i in range(len(w) - n + 1) if w[i : i + n] != "_"]
+@cache
+def kinds() -> np.ndarray:
+    """For each code point: 1 a letter, 2 a blank (as bytes.split() has them), 0 anything else."""
+    out = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), np.uint8, 0x110000)
+    out[[9, 10, 11, 12, 13, 32]] = 2
+    return out
+
+
+def features(texts: list[str | None], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of every n-gram of the texts, in the order of the texts for each length of n-gram.
+
+    The letters of all texts stand in one array, words divided by one 0, which is the edge mark; an n-gram lies in one word, so only its ends may be marks.
+    """
+    lowered = [(t or "").lower() for t in texts]
+    codes = np.frombuffer(" ".join(["", *lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
+    owner = np.r_[0, owner, len(texts) - 1][: len(codes)]
+    kind = kinds()[codes]
+    keep = kind > 0
+    codes, owner = np.where(kind[keep] == 2, 0, codes[keep]).astype(np.uint64), owner[keep]
+    keep = np.r_[True, (codes[1:] > 0) | (codes[:-1] > 0)][: len(codes)]
+    codes, owner = codes[keep], owner[keep]
+    who, what = [], []
+    for n in s.grams:
+        parts = [codes[i : len(codes) - n + 1 + i] for i in range(n)]
+        inner = np.ones(len(parts[0]), bool)
+        for x in parts[1:-1] if n > 1 else parts:
+            inner &= x > 0
+        if n == 2:
+            inner &= (parts[0] > 0) | (parts[1] > 0)
+        at = np.flatnonzero(inner)
+        h = np.full(len(at), n, np.uint64)
+        for x in parts:
+            h = (h ^ x[at]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        # A pair that begins with a mark belongs to the text of its letter; the second place of a longer one is a letter.
+        own = owner[at] if n == 1 else np.where(codes[at] > 0, owner[at], owner[at + 1])
+        who.append(own)
+        what.append((h % np.uint64(s.buckets)).astype(np.int32))
+    return np.concatenate(who), np.concatenate(what)
 
 
 @dataclass
@@ -56,29 +88,25 @@ class Model:
     temperature: float
     settings: Settings
 
-    def rows_of(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        for i, w in enumerate(words):
-            if at := features(w, self.settings):
-                out[i, :-1], out[i, -1] = self.weights[at].sum(0), len(at)
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = [("und", 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        for first, part in slices(texts):
+            who, what = features(part, self.settings)
+            n = np.bincount(who, minlength=len(part))
+            total = np.zeros((len(part), len(self.langs)))
+            cuts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]][: len(who)])  # a text's n-grams of one length stand together
+            if len(cuts):
+                np.add.at(total, who[cuts], np.add.reduceat(self.weights[what], cuts, axis=0, dtype=np.float64))
+            z = (total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature
+            best, p = z.argmax(1), _softmax(z).max(1)
+            for i in np.flatnonzero(n):
+                out[first + i] = (self.langs[best[i]], float(p[i]))
         return out
 
     def predictor(self):
-        table = WordTable(self.rows_of)
-
-        def predict(text: str | None) -> tuple[str, float]:
-            words = (text or "").encode().split()
-            if not words or not self.langs:
-                return "und", 0.0
-            total = table.take(words).sum(0, dtype=np.float64)
-            if total[-1] == 0:
-                return "und", 0.0
-            z = (total[:-1] / total[-1] + self.bias) / self.temperature
-            p = np.exp(z - z.max())
-            best = int(p.argmax())
-            return self.langs[best], float(p[best] / p.sum())
-
-        return predict
+        return lambda text: self.predict([text])[0]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -92,18 +120,11 @@ def train(texts: list[str], labels: list[str], s: Settings = Settings()) -> Mode
     if not langs:
         return Model([], np.zeros((s.buckets, 0), np.float32), np.zeros(0), 1.0, s)
     rng = np.random.default_rng(s.seed)
-    known: dict[bytes, np.ndarray] = {}
     docs, df = [], np.zeros(s.buckets)
     for t in texts:
-        parts = []
-        for w in (t or "").encode().split():
-            if (f := known.get(w)) is None:
-                f = known[w] = np.array(features(w, s), np.int32)
-            parts.append(f)
-        at, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
+        at, n = np.unique(features([t], s)[1], return_counts=True)
         df[at] += 1
         docs.append((at, n / max(1, n.sum())))
-    known.clear()
     idf = np.log((1 + len(docs)) / (1 + df)) + 1
     docs = [(at, share * idf[at] * s.scale) for at, share in docs]
     y = np.array([langs.index(x) for x in labels])
@@ -135,22 +156,22 @@ def train(texts: list[str], labels: list[str], s: Settings = Settings()) -> Mode
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """Fit on a frame with doc_id, text and lang, on at most about `max_docs` of its rows."""
+    """Fit on a frame with text and lang, on at most `max_docs` of its distinct rows."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sample_rows(labelled, "doc_id", s.max_docs, labelled.select("doc_id").count()).select("text", "lang").limit(2 * s.max_docs).toArrow()
-    return train(rows["text"].to_pylist(), rows["lang"].to_pylist(), s)
+    rows = sample_of(labelled, "lang", ["text", "lang"], s.max_docs)
+    return train([t for t, _ in rows], [x for _, x in rows], s)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with lang_pred and score, the probability of that language."""
     docs = docs.drop("lang_pred", "score")
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
-        one = shared.value.predictor()
         for b in batches:
-            found = [one(t) for t in b.column(at).to_pylist()]
+            found = shared.value.predict(b.column(at).to_pylist())
             b = b.append_column("lang_pred", pa.array([x[0] for x in found], pa.string()))
             yield b.append_column("score", pa.array([x[1] for x in found], pa.float64()))
 
