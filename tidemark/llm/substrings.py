@@ -19,8 +19,9 @@ before they are shuffled, so frequent words, lines and passages cost a row a tas
 no document's partners are ever gathered.
 
 Edge cases: null and blank texts have no words and lose none; texts shorter than a window are kept as they are, up to white space; windows are
-judged on the input, so a chain of copies loses all but the first; rows that repeat a doc_id count as one document: neither
-removes the other's words, but what is found in one is cut at the same places of both; rows with a null doc_id neither lose words nor take others'.
+judged on the input, so a chain of copies loses all but the first; rows that repeat a doc_id count as one document, so neither removes the
+other's words, but each text is cut at its own places (its hash, the tag, goes with every place); rows with a null doc_id neither lose words nor
+take others'; input columns of any name pass through, but n_words, n_removed and kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, free_shuffles, small, with_fields, written
+from tidemark.llm.common import boxed, discard, free_shuffles, short_batches, small, small_lists, text_key, unboxed, written
 
 ROUNDS, MOST_ROUNDS = 3, 60
+#: A place in a document is tag * 2^24 + the word's number. The tag is 0 but for doc_ids with several texts: there it has 39 bits of the text's hash.
+PLACE = 24
 _U = np.uint64
 
 
@@ -170,14 +174,15 @@ def windows(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _batch(t: Texts, ids: pa.Array, name: np.ndarray, at: np.ndarray, open_window: bool) -> pa.RecordBatch:
-    """Rows (name, doc_id, start, open) for symbols or windows at positions `at`."""
+def _batch(t: Texts, rows: pa.RecordBatch, name: np.ndarray, at: np.ndarray, open_window: bool, whole: bool = True) -> pa.RecordBatch:
+    """Rows (name, doc_id, start, open) for symbols or windows at positions `at`; without `whole`, start has the tag alone."""
     doc = t.owner[at]
-    cols = [pa.array(name.view(np.int64)), ids.take(pa.array(doc)), pa.array((at - t.start[doc]).astype(np.int32)), pa.array(np.full(len(at), open_window))]
+    start = (rows.column("tag").to_numpy()[doc] << PLACE) + (at - t.start[doc] if whole else 0)
+    cols = [pa.array(name.view(np.int64)), rows.column("doc_id").take(pa.array(doc)), pa.array(start.astype(np.int64)), pa.array(np.full(len(at), open_window))]
     return pa.RecordBatch.from_arrays(cols, ["name", "doc_id", "start", "open"])
 
 
-def _portions(batches, limit: int = 300_000):
+def _portions(batches, limit: int = 120_000):
     """Slices of the batches with about `limit` words, as (rows, words of each text)."""
     for b in batches:
         texts, first, total = [], 0, 0
@@ -189,27 +194,38 @@ def _portions(batches, limit: int = 300_000):
                 texts, first, total = [], i + 1, 0
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """`docs` with the column tag."""
+    several = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again")), "several")
+    if several.isEmpty():
+        return docs.withColumn("tag", F.lit(0).cast("long"))
+    tag = F.shiftrightunsigned(text_key(F.col("text")), PLACE + 1)
+    return docs.join(small(several), F.col("doc_id") == F.col("again"), "left").withColumn("tag", F.when(F.col("again").isNotNull(), tag).otherwise(F.lit(0).cast("long"))).drop("again")
+
+
 def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, span_first, span_end: arrays): the words, from 0, that windows cover which also start in a document with a smaller doc_id."""
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    """(doc_id, tag, span_first, span_end: arrays) of a frame with doc_id, text and tag: the words, from 0, that windows cover which also start in a
+    document with a smaller doc_id. A written table."""
+    docs = docs.select("doc_id", "text", "tag").where(F.col("doc_id").isNotNull())
     id_field = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"name long, doc_id {id_field}, start int, open boolean"
+    schema = f"name long, doc_id {id_field}, start long, open boolean"
+    tag, place = F.shiftright("start", PLACE).alias("tag"), F.col("start").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
     def high(batches):
         for rows, texts in _portions(batches):
             t = Texts(texts)
             name, start, end = passages(t, window)
-            b = _batch(t, rows.column("doc_id"), name, start, False)
+            b = _batch(t, rows, name, start, False)
             yield b.set_column(3, "end", pa.array((end - t.start[t.owner[start]]).astype(np.int32)))
 
-    long = written(docs.mapInArrow(high, f"name long, doc_id {id_field}, start int, end int"), "passages")
+    long = written(docs.mapInArrow(high, f"name long, doc_id {id_field}, start long, end int"), "passages")
     # Counts are mostly 1 and take less of a shuffle than a greatest doc_id; what one document repeats is counted too and joins with nothing.
     first = long.groupBy("name").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("name", "a")
-    spans = long.join(first, "name").where("doc_id > a").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    spans = written(spans.select("doc_id", F.col("spans.start").alias("span_first"), F.col("spans.end").alias("span_end")), "spans")
+    spans = long.join(first, "name").where("doc_id > a").groupBy("doc_id", tag).agg(F.array_sort(F.collect_set(F.struct(place.alias("start"), "end"))).alias("spans"))
+    spans = written(spans.select("doc_id", "tag", F.col("spans.start").alias("span_first"), F.col("spans.end").alias("span_end")), "spans")
     discard(long)
     free_shuffles(docs.sparkSession)
-    docs = docs.join(small(spans), "doc_id", "left")
+    docs = docs.join(small_lists(spans, "span_first", "span_end"), ["doc_id", "tag"], "left")
 
     def symbols(batches):
         for rows, texts in _portions(batches):
@@ -217,16 +233,15 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             done = inside(t, rows.column("span_first").to_pylist(), rows.column("span_end").to_pylist(), window)
             name, lo, _, free = inner(t, window, done)
             at = np.unique(mixed(name, t.owner[lo].astype(_U)), return_index=True)[1]
-            b = _batch(t, rows.column("doc_id"), name[at], lo[at], False)
-            yield b.set_column(2, "start", pa.nulls(len(at), pa.int32()))
-            yield _batch(t, rows.column("doc_id"), windows(t.h, free, window), free, True)
+            yield _batch(t, rows, name[at], lo[at], False, whole=False)
+            yield _batch(t, rows, windows(t.h, free, window), free, True)
 
     found = written(docs.mapInArrow(symbols, schema), "symbols")
     free_shuffles(docs.sparkSession)
-    names = found.where("not open").select("name", "doc_id")
+    names = found.where("not open").select("name", "doc_id", tag)
     shared = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    of_doc = names.join(shared, "name").groupBy("doc_id").agg(F.collect_list("name").alias("shared"))
-    texts = docs.join(of_doc, "doc_id")
+    of_doc = names.join(shared, "name").groupBy("doc_id", "tag").agg(F.collect_list("name").alias("shared"))
+    texts = docs.join(of_doc, ["doc_id", "tag"])
 
     def candidates(batches):
         for rows, texts in _portions(batches):
@@ -242,30 +257,37 @@ def repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             known = ours[np.minimum(np.searchsorted(ours, asked), len(ours) - 1)] == asked if len(ours) else np.zeros(len(asked), bool)
             at = np.flatnonzero(symbol >= 0)
             at = at[known[symbol[at]]]
-            yield _batch(t, rows.column("doc_id"), windows(t.h, at, window), at, True)
+            yield _batch(t, rows, windows(t.h, at, window), at, True)
 
-    spots = written(texts.mapInArrow(candidates, schema), "windows").unionAll(found.where("open")).select(F.col("name").alias("hash"), "doc_id", "start")
+    closed = written(texts.mapInArrow(candidates, schema), "windows")
     free_shuffles(docs.sparkSession)
+    spots = closed.unionAll(found.where("open")).select(F.col("name").alias("hash"), "doc_id", "start")
     first = spots.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = spots.join(first, "hash").where("doc_id > first").groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    later = spots.join(first, "hash").where("doc_id > first").groupBy("doc_id", tag).agg(F.array_sort(F.collect_set(place)).alias("starts"))
     # Starts that follow each other without a gap between their windows are one span.
     opens = F.filter(F.transform("starts", lambda x, i: F.when((i == 0) | (x > F.get(F.col("starts"), i - 1) + window), x)), lambda x: x.isNotNull())
     ends = F.filter(F.transform("starts", lambda x, i: F.when((i == F.size("starts") - 1) | (F.get(F.col("starts"), i + 1) > x + window), x + window)), lambda x: x.isNotNull())
-    later = later.select("doc_id", opens.alias("span_first"), ends.alias("span_end"))
-    both = later.unionByName(spans).groupBy("doc_id")
-    return both.agg(F.flatten(F.collect_list("span_first")).alias("span_first"), F.flatten(F.collect_list("span_end")).alias("span_end"))
+    later = later.select("doc_id", "tag", opens.alias("span_first"), ends.alias("span_end"))
+    both = later.unionByName(spans).groupBy("doc_id", "tag")
+    out = written(both.agg(F.flatten(F.collect_list("span_first")).alias("span_first"), F.flatten(F.collect_list("span_end")).alias("span_end")), "repeats")
+    for table in (found, closed, spans):
+        discard(table)
+    free_shuffles(docs.sparkSession)
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """`docs` with n_words, n_removed and kept_text: the words of no repeated window, joined by single blanks (null for a null text)."""
+    short_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    found = written(repeats(docs, window), "repeats").withColumnRenamed("doc_id", "repeat_id")
-    rows = docs.join(small(found), F.col("doc_id") == F.col("repeat_id"), "left").drop("repeat_id")
+    rows = tagged(docs.select("doc_id", "text", boxed(docs).alias("row")))
+    found = repeats(rows, window)
+    rows = rows.drop("text").join(small_lists(found, "span_first", "span_end"), ["doc_id", "tag"], "left").select("row", "span_first", "span_end")
 
     def cut(batches):
         for b in batches:
             total, removed, texts = [], [], []
-            for t, first, end in zip(b.column("text").to_pylist(), b.column("span_first").to_pylist(), b.column("span_end").to_pylist(), strict=True):
+            for t, first, end in zip(b.column("row").field("text").to_pylist(), b.column("span_first").to_pylist(), b.column("span_end").to_pylist(), strict=True):
                 kept = words = (t or "").encode().split()
                 if first is not None:
                     kept, at = [], 0
@@ -276,12 +298,10 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 total.append(len(words))
                 removed.append(len(words) - len(kept))
                 texts.append(None if t is None else b" ".join(kept).decode())
-            b = b.drop_columns(["span_first", "span_end"])
-            for name, values, kind in (("n_words", total, pa.int64()), ("n_removed", removed, pa.int64()), ("kept_text", texts, pa.string())):
-                b = b.append_column(name, pa.array(values, kind))
-            yield b
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["row", "n_words", "n_removed", "kept_text"])
 
-    return rows.mapInArrow(cut, with_fields(docs, n_words="long", n_removed="long", kept_text="string"))
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
+    return rows.mapInArrow(cut, schema).select(*unboxed("row", docs.columns), "n_words", "n_removed", "kept_text")
 
 
 def digest(texts: DataFrame) -> DataFrame:
