@@ -7,11 +7,13 @@ sides carry, to the shared windows themselves. Items shorter than a window are o
 the hash of the whole.
 
 Scale: one pass over the documents; the fingerprint rows carry their 15 words of context, so texts never move. The fingerprints
-of the benchmark are broadcast if they are few (counted), else the join is shuffled. Equal fingerprints of several items are one
-row with a list of items, and the result is grouped by document, never by passage.
+of the benchmark are broadcast if they are few (counted), else the join is shuffled; the row that stands for a document without hits has
+a key of its own there, so no task gets them all. Equal fingerprints of several items are one row with a list of items, and the result is
+grouped by document, never by passage.
 
-Edge cases: null and blank texts have no words and no hits; rows with the same doc_id are judged each on its own; an empty
-benchmark leaves every document clean; items without words never occur.
+Edge cases: null and blank texts have no words and no hits; rows with the same doc_id are judged each on its own, by their text, so
+equal rows get equal results, a row each; an empty benchmark leaves every document clean; items without words never occur; further columns
+of either table, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import small, text_key
 
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FINGERPRINT_ROWS = 500_000
@@ -76,7 +78,7 @@ def _anchors(window: int, k: int, short: list[int], pad: int, whole_short: bool)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
-    """For each row of `docs` (doc_id, text): n_words, hit_words (positions), items (ids of the items found in it).
+    """For each row of `docs` (doc_id, text): text_key, n_words, hit_words (positions), items (ids of the items found in it).
 
     `bench` has item_id and text. Columns beyond these are ignored.
     """
@@ -86,20 +88,23 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, k: int =
     marks = items.select("item_id", F.explode(_anchors(window, k, short, -2, True)).alias("a")).select("item_id", "a.*")
     marks = marks.groupBy("n", "h", F.col("ctx").alias("item_ctx")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     marks = small(marks, FINGERPRINT_ROWS)
-    sentinel = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("h"), F.array().cast("array<bigint>").alias("ctx")))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", word_hashes(F.col("text")).alias("wh"))
-    rows = rows.select("rid", "doc_id", F.size("wh").alias("n_words"), F.explode(F.concat(sentinel, _anchors(window, k, short, -1, False))).alias("a")).select("rid", "doc_id", "n_words", "a.*")
+    # The document's own row: n is 0, which no fingerprint has, and h spreads the documents over the tasks of a shuffled join.
+    own = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("n"), F.xxhash64("text_key", "doc_id").alias("h"), F.array().cast("array<bigint>").alias("ctx")))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), word_hashes(F.col("text")).alias("wh"))
+    rows = rows.select("doc_id", "text_key", F.size("wh").alias("n_words"), F.explode(F.concat(own, _anchors(window, k, short, -1, False))).alias("a")).select("doc_id", "text_key", "n_words", "a.*")
     met = rows.join(marks, ["n", "h"], "left").where(F.col("items").isNotNull() | (F.col("p") < 0))
     starts = F.filter(F.sequence(F.lit(0), F.lit(window - k)), lambda o: F.slice(F.col("ctx"), o + 1, window) == F.slice(F.col("item_ctx"), o + 1, window))
     spans = F.flatten(F.transform(starts, lambda o: F.sequence(F.col("p") - (window - k) + o, F.col("p") + k - 1 + o)))
     covered = F.when(F.col("n") == window, spans).when(F.col("n") > 0, F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    met = met.select("rid", "doc_id", "n_words", covered.alias("covered"), "items")
+    met = met.select("doc_id", "text_key", "n_words", "p", covered.alias("covered"), "items")
     met = met.withColumn("items", F.when(F.size("covered") > 0, F.col("items")))
-    return met.groupBy("rid", "doc_id").agg(
+    found = met.groupBy("doc_id", "text_key").agg(
         F.max("n_words").cast("long").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("rid")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("hit_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if(F.col("p") < 0).cast("int").alias("rows"),
+    )
+    return found.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows")
 
 
 def report(hits: DataFrame) -> DataFrame:
