@@ -9,7 +9,8 @@ histograms of the keys, 256 cells a level and three levels deep, so that no task
 the one cell in 2^24 that the end falls into are sorted.
 
 Edge cases: null or blank texts have size 0 and take 0; a null source is a source of its own, last in the order; equal keys are
-ordered by the id, then by the text's hash; repeated rows are documents of their own; an empty table gives an empty result.
+ordered by the id, then by the text's hash; repeated rows are documents of their own; an empty table gives an empty result; further columns
+are ignored, or carried in one struct, so their names can't clash. Targets are computed on one row a source, in one task: sources are few.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, small, written
+from tidemark.llm.common import WORD, boxed, small, written
 
 LEVELS = (16, 8, 0)
 CELLS = 1 << 24
 
 
 def text_quality(text: Column) -> Column:
-    """A quality weight from 0.25 to 1: the share of letters among a text's characters."""
-    letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    """A quality weight from 0.25 to 1: the share of letters, of any script, among a text's characters."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     return F.coalesce(F.lit(0.25) + F.lit(0.75) * letters / F.greatest(F.length(text), F.lit(1)), F.lit(1.0))
 
 
@@ -86,10 +87,11 @@ def mix(items: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, se
     return both.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long")).drop("cell", "prefix", "before", "epochs", "rest", "extra", "weight")
 
 
-def document_items(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """The items of a documents table: size in words, quality weight from the text unless given."""
+def document_items(docs: DataFrame, weight: Column | None = None, payload: bool = False) -> DataFrame:
+    """The items of a documents table: size in words, quality weight from the text unless given; with `payload`, its columns go along as one, `row`."""
     text = F.col("text")
     return docs.select(
+        *([boxed(docs).alias("row")] if payload else []),
         F.col("doc_id").alias("id"), "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (text_quality(text) if weight is None else weight).alias("weight"), F.xxhash64(text).alias("tie"),
     )

@@ -57,7 +57,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH i AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-             coalesce(CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) / greatest(length(text), 1), 1.0) AS weight,
+             coalesce(CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / greatest(length(text), 1), 1.0) AS weight,
              (CAST(CAST('0x' || substr(sha1('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
            FROM documents),
 k AS (SELECT *, -ln(u) / greatest(weight, 1e-9) AS es_key FROM i),
