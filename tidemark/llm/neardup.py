@@ -14,7 +14,8 @@ Scale: no list and no group is ever gathered whole or expanded into pairs of row
 list of n rows is copied n / BLOCK times. Texts are read twice: for signatures, and for the sets of the classes in loose groups.
 
 Edge cases: texts with fewer words than a shingle are one shingle; null, empty and blank texts have none and link with nothing; equal texts
-are one class of any size; rows that repeat a doc_id get a row each; a null doc_id stands in no component's minimum.
+are one class of any size; rows that repeat a doc_id get a row each, whether
+their texts agree or not; a null doc_id stands in no component's minimum; further columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, written
+from tidemark.llm.common import discard, small, text_key, written
 from tidemark.llm.graph import components
 
 COORDINATES = 32
@@ -211,24 +212,24 @@ def _confirmed(percent: int):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, node, component_id, kept) for each row of `docs` (doc_id, text).
+    """(doc_id, text_key, n_shingles, node, root, component_id, kept) for each row of `docs` (doc_id, text).
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the smallest doc_id that
-    links reach. `node` names the set (null for an empty one).
+    links reach. `node` names the set (null for an empty one), `root` the least node of its component, text_key is a hash of the text.
     """
     docs = docs.select("doc_id", "text")
 
     def sketch(batches):
         for b in batches:
             out = []
-            for d, t in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(t, words)
-                out.append((d.as_py(), len(s), node_of(s) if len(s) else None, signature(s) if len(s) else None))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc_id", "n_shingles", "node", "sig"])
+            for t in b.column("text"):
+                s = shingle_set(t.as_py(), words)
+                out.append((len(s), node_of(s) if len(s) else None, signature(s) if len(s) else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True))], ["doc_id", "text_key", "n_shingles", "node", "sig"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sketches = written(docs.mapInArrow(sketch, f"doc_id {id_type}, n_shingles long, node long, sig array<int>"), "sketches")
+    sketches = written(docs.withColumn("text_key", text_key(F.col("text"))).mapInArrow(sketch, f"doc_id {id_type}, text_key long, n_shingles long, node long, sig array<int>"), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"))
     classes = written(classes, "classes")
     matches = match_bound(percent / 100)
@@ -243,7 +244,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     loose = components(block_pairs(prefix, ["key"], "size", "node", BLOCK).mapInArrow(_loose(matches, percent), "a long, b long").where("a is not null"))
     loose = written(loose, "loose")
     sizes = loose.groupBy("root").agg(F.count("*").alias("size"))
-    loose = written(loose.join(sizes, "root").join(classes.select("node", "first_id"), "node"), "loose-sized")
+    loose, old = written(loose.join(sizes, "root").join(classes.select("node", "first_id"), "node"), "loose-sized"), loose
+    discard(old)
 
     def sets(batches):
         for b in batches:
@@ -258,9 +260,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linked = written(linked, "linked")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # Every class has its first_id; classes with links have the least of their component.
-    of_class = classes.select("node", "first_id").join(linked.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left")
-    of_class = of_class.select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    of_class = classes.select("node", "first_id").join(linked.select("node", "root").join(least, "root"), "node", "left")
+    of_class = of_class.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
     return sketches.drop("sig").join(of_class, "node", "left").select(
-        "doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "text_key", "n_shingles", "node", "root", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
     )
