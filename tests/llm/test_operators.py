@@ -235,3 +235,96 @@ def test_scorers_keep_rows_and_columns(spark):
     docs = frame(spark, corpus()).withColumn("score", F.lit("clash"))
     for out in (quality.score(docs, quality.train([], [])), toxicity.score(docs, toxicity.train([], [])), langid.predict(docs, langid.train([], []))):
         assert out.count() == docs.count() and dict(out.dtypes)["score"] == "double"
+
+
+def test_substrings_of_repeated_and_null_ids(spark):
+    """Each text of a repeated doc_id is judged on its own windows; neither removes the other's words; helper names may be taken."""
+    r = random.Random(21)
+    a, b = (" ".join(r.choices(WORDS, k=20)) for _ in "ab")
+    rows = [(1, a), (5, a + " zz"), (5, b), (5, b), (7, b), (7, b + " " + a), (None, a), (9, f"x {b} y"), (None, None)]
+    first = {}
+    for d, t in rows:
+        for i in range(len(words(t)) - 12 if d is not None else 0):
+            w = tuple(words(t)[i : i + 13])
+            first[w] = min(d, first.get(w, d))
+    want = []
+    for d, t in rows:
+        w, gone = words(t), set()
+        for i in range(len(w) - 12 if d is not None else 0):
+            if first[tuple(w[i : i + 13])] < d:
+                gone.update(range(i, i + 13))
+        want.append((d, t, len(gone), None if t is None else b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    df = frame(spark, rows)
+    for c in ("span_first", "span_end", "tag", "row", "again", "name", "shared", "a.b"):
+        df = df.withColumn(c, F.lit("clash"))
+    out = substrings.without_repeats(df, 13)
+    assert out.columns == [*df.columns, "n_words", "n_removed", "kept_text"]
+    assert sorted(map(repr, want)) == sorted(repr((x.doc_id, x.text, x.n_removed, x.kept_text)) for x in out.collect())
+
+
+def test_decontamination_of_repeated_ids_and_shuffled_join(spark, monkeypatch):
+    docs = [(1, "a b c d e f g h i j k"), (1, "clean words only"), (1, "a b c d e f g h i j k"), (None, "É B C D E F G H I J"), (2, None)]
+    bench = frame(spark, [(7, "x a b c d e f g h i j"), (8, "É b c d e f g h i j"), (9, "é b c d e f g h i j")], "item_id long, text string")
+    for c in ("n", "h", "p", "ctx", "items"):
+        bench = bench.withColumn(c, F.lit(1))
+    want = sorted(map(repr, [(1, 11, 10, [7]), (1, 3, 0, []), (1, 11, 10, [7]), (None, 10, 10, [8]), (2, 0, 0, [])]))
+    for most in (decontam.FINGERPRINT_ROWS, 0):
+        monkeypatch.setattr(decontam, "FINGERPRINT_ROWS", most)
+        got = decontam.decontaminate(frame(spark, docs), bench).collect()
+        assert sorted(repr((x.doc_id, x.n_words, len(x.hit_words), list(x["items"]))) for x in got) == want
+
+
+def test_near_duplicates_of_repeated_ids_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 3)
+    base = WORDS[:30] * 2
+    rows = [(i, " ".join([*base[:55], f"end{i}"])) for i in range(20, 3, -1)] + [(4, "other words of the same id here"), (None, " ".join(base[:56])), (3, None), (2, "")]
+    got = [(x.doc_id, x.component_id, x.kept, x.root) for x in neardup.near_duplicates(frame(spark, rows).withColumn("root", F.lit(1)), 4, 80).collect()]
+    group = {x[3] for x in got if x[0] not in (2, 3, 4)}
+    assert len(group) == 1 and len(got) == len(rows)
+    assert all(x[1] == 4 for x in got if x[3] in group) and sum(x[2] for x in got if x[3] in group) == 1
+    assert sorted(x[:3] for x in got if x[3] is None) == [(2, 2, True), (3, 3, True)]
+    assert neardup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_language_features_against_a_plain_loop():
+    s = langid.Settings()
+    texts = ["Don't stop", None, "", "  ", "a", "É b\tЖук 3x", "12 34", "x" * 50, "ΣΑΣ ΟΔΟΣ"]
+    who, what = langid.features(texts, s)
+    for i, t in enumerate(texts):
+        grams = []
+        for w in words(t):
+            if letters := "".join(c for c in w.decode().lower() if c.isalpha()):
+                w = f"_{letters}_"
+                grams += [w[j : j + n] for n in s.grams for j in range(len(w) - n + 1) if w[j : j + n] != "_"]
+        own = Counter(what[who == i].tolist())
+        assert sorted(own.values()) == sorted(Counter(grams).values())
+        assert own == Counter(langid.features([t], s)[1].tolist())
+
+
+def test_quality_features_against_a_plain_loop():
+    s = quality.Settings()
+    texts = ["one one two", None, "", " \n", "a", "é b", "long" * 30, "the end"]
+    who, what = quality.features(texts, s)
+    for i, t in enumerate(texts):
+        w = words(t)
+        grams = [b"<" + x + b">" for x in w]
+        many = [(0, x) for x in w] + [(n, g[j : j + n]) for g in grams for n in s.grams for j in range(len(g) - n + 1)]
+        many += [(-1, b"") if a == b else (-2, a + b" " + b) for a, b in zip(w, w[1:])]
+        own = Counter(what[who == i].tolist())
+        assert sorted(own.values()) == sorted(Counter(many).values()) and own[s.buckets - 1] == sum(a == b for a, b in zip(w, w[1:]))
+        assert own == Counter(quality.features([t], s)[1].tolist())
+
+
+def test_samples_of_one_id_and_rare_values(spark):
+    from tidemark.llm.common import labelled_sample, sample_of
+
+    docs = frame(spark, [(7, f"text {i}") for i in range(3000)] + [(8, None)])
+    langs = docs.withColumn("lang", F.when(F.col("text").endswith("99"), "rare").otherwise("common")).where("text is not null")
+    got = sample_of(langs, "lang", ["text", "lang"], 200)
+    assert got == sample_of(langs.repartition(7), "lang", ["text", "lang"], 200) and 60 < len(got) <= 200
+    assert sum(x == "rare" for _, x in got) == 30
+    assert len(sample_of(langs, "lang", ["text", "lang"], 200, most_bytes=100)) <= 12
+    some = labelled_sample(docs, frame(spark, [(7, 1), (7, 1), (8, 0), (9, 0), (None, 1)], "doc_id long, toxic int"), "toxic", 100)
+    assert 30 < len(some) <= 102 and {y for _, y in some} == {0, 1}
+    assert sample_of(langs.where("false"), "lang", ["text", "lang"], 9) == []
