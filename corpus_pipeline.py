@@ -1,6 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, mixing; each stage's result is a written table.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
+Decisions are about rows: a row is known by its doc_id and a hash of its text, so a null or repeated doc_id says nothing about other rows.
+Rows that agree in both are decided alike, but where one of a group stays: there one of them does.
 """
 
 from __future__ import annotations
@@ -9,56 +11,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, neardup, quality, substrings
-from tidemark.llm.common import held_out, small, written
+from tidemark.llm.common import boxed, discard, free_shuffles, fresh, held_out, small, text_key, unboxed, written
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` less those whose doc_id is in `ids` (a column gone)."""
-    return docs.join(small(ids), F.col("doc_id") == F.col("gone"), "left_anti")
+def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """`docs` with ("left_semi") or without ("left_anti") those named in `rows` (doc_id, text_key)."""
+    d, k = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    rows = small(rows.select(F.col("doc_id").alias(d), F.col("text_key").alias(k)))
+    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(k)), how)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more; it learns from `labels` as op7 does."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), "quality")
-    return quality.score(docs, model).where("score >= 0.3").select(docs.columns)
+    into = fresh(docs, "quality_score")
+    return quality.score(docs, model, into).where(F.col(into) >= 0.3).drop(into)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id.
-
-    Rows that repeat a doc_id and its text are one document; a doc_id with several texts goes only if none of them is kept.
-    """
-    found = written(neardup.near_duplicates(docs, words=5, percent=80).select("doc_id", "kept"), "kept")
-    per = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    docs = _without(docs, per.where("not kept").select(F.col("doc_id").alias("gone")))
-    again = per.where("rows > 1 and kept and doc_id is not null").select(F.col("doc_id").alias("gone"))
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): that with the smallest doc_id (null last), then the
+    smallest text hash; of rows that agree in both, that with the smallest other columns. Texts without words are in no group and stay."""
+    found = written(neardup.near_duplicates(docs, words=5, percent=80).where("root is not null").select("doc_id", "text_key", "root"), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"), F.count("*").alias("n"))
+    best = written(best.where("n > 1").select("root", F.col("best.doc_id").alias("b"), F.col("best.text_key").alias("bk")), "best")
+    grouped = found.join(best, "root")
+    ours = F.col("doc_id").eqNullSafe(F.col("b")) & (F.col("text_key") == F.col("bk"))
+    gone = written(grouped.where(~ours).select("doc_id", "text_key").distinct(), "gone")
+    again = written(grouped.where(ours).groupBy("doc_id", "text_key").count().where("count > 1").drop("count"), "again")
+    discard(found)
+    free_shuffles(spark)
+    kept = _chosen(docs, gone, "left_anti")
     if again.isEmpty():
-        return docs
-    several = docs.join(small(again), F.col("doc_id") == F.col("gone"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(docs, again).unionByName(several)
+        return kept
+    several = _chosen(docs, again, "left_semi")
+    one = several.groupBy("doc_id", text_key(F.col("text"))).agg(F.min(boxed(docs)).alias("row")).select(*unboxed("row", docs.columns))
+    return _chosen(kept, again, "left_anti").unionByName(one)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 13 words or more that a document with a smaller doc_id holds; documents left without a word go."""
-    cut = substrings.without_repeats(docs, window=13).where("n_removed = 0 or n_removed < n_words")
+    own = {c: fresh(docs, f"input_{c}") for c in docs.columns if c.lower() in ("n_words", "n_removed", "kept_text")}
+    cut = substrings.without_repeats(docs.withColumnsRenamed(own), window=13).where("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
-    cut = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.select(*[new.get(c, F.col(f"`{own.get(c, c)}`")).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no 10 words in a row (and no whole shorter item) with the benchmark."""
     hits = decontam.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    return _without(docs, written(hits.where(F.size("hit_words") > 0).select(F.col("doc_id").alias("gone")).distinct(), "leaks"))
+    return _chosen(docs, written(hits.where(F.size("hit_words") > 0).select("doc_id", "text_key").distinct(), "leaks"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents of which a word is taken, with size, source_size, target and taken (words, repeats counted)."""
-    mixed = mixing.mix(mixing.document_items(docs)).where("taken > 0").select("id", "tie", "size", "source_size", "target", "taken")
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["id"]) & (F.xxhash64(docs["text"]) == mixed["tie"])).drop("id", "tie")
+    """The mix: documents of which a word is taken, a row each, with size, source_size, target and taken (words, repeats counted) in place of columns so named."""
+    added = ["size", "source_size", "target", "taken"]
+    mixed = mixing.mix(mixing.document_items(docs, payload=True)).where("taken > 0")
+    return mixed.select(*unboxed("row", [c for c in docs.columns if c.lower() not in added]), *added)
 
 
 STAGES = [
@@ -69,7 +81,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
 ]
 
-#: The classifier is learned, which SQL cannot express; tests hold the stages against brute force.
+#: The classifier is learned, which SQL cannot express; tests hold the later stages against brute force, and the first against labels.
 ORACLE_SQL = None
 
 
