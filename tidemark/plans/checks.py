@@ -251,15 +251,6 @@ def nearest_in_time(spark, d):
     return out.select("event_id", "near_id")
 
 
-@query("""WITH p AS (SELECT o_orderkey AS p, TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (o_orderkey * 7 % 700) AS s, 1 + o_orderkey % 5 AS n FROM orders WHERE o_orderkey < 300)
-SELECT event_id, p FROM events JOIN p ON ts >= s AND ts < s + INTERVAL 1 HOUR * n""")
-def interval_join(spark, d):
-    at = lambda h: F.timestamp_seconds(F.lit(1704067200) + h * 3600)
-    k = F.col("p")
-    p = read(spark, d, "orders").where("o_orderkey < 300").select(F.col("o_orderkey").alias("p")).select("p", at(k * 7 % 700).alias("s"), at(k * 7 % 700 + 1 + k % 5).alias("e"))
-    return series.in_periods(read(spark, d, "events").select("event_id", "ts"), p, "ts", "s", "e", 3).select("event_id", "p")
-
-
 @query("""WITH b AS (SELECT epoch_us(min(ts)) AS low, (epoch_us(max(ts)) - epoch_us(min(ts))) // greatest(1, (SELECT count(*) FROM orders)) + 1 AS step, (SELECT count(*) FROM orders) AS n FROM events),
 p AS (SELECT o_orderkey AS p, unnest(range(o_orderkey * 7919 % n, o_orderkey * 7919 % n + 1 + o_orderkey % 5)) AS slot FROM orders, b)
 SELECT event_id, p FROM (SELECT event_id, (epoch_us(ts) - low) // step AS slot FROM events, b) JOIN p USING (slot)""")

@@ -20,7 +20,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from tidemark.plans import checks  # noqa: F401
+    from tidemark.plans import briefs, checks  # noqa: F401
 
     return dict(_QUERIES)
 
