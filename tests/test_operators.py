@@ -1,5 +1,8 @@
+import math
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +112,33 @@ def test_buoys(spark, tmp_path):
     (tmp_path / "obs.txt").write_text("#STN LAT\n45007 42.7 -87.0 2026 07 01 12 50 200 5.0 MM 0.3 MM MM MM MM MM MM MM MM MM MM\nbad\n")
     (r,) = feeds.buoys(spark, str(tmp_path / "obs.txt")).collect()
     assert (r.station, r.at, r.gust_kt, r.wave_m) == ("45007", datetime(2026, 7, 1, 12, 50), None, 0.3) and r.wind_kt == pytest.approx(9.719, abs=1e-3)
+
+
+def test_nearest_across_the_date_line_and_the_poles(spark):
+    """Against all distances: near pairs on both sides of 180 degrees and around a pole, and rows whose nearest is far away."""
+    r = random.Random(3)
+    spots = [(89.9, 0.0), (89.8, 180.0), (-89.95, 77.0), (10.0, 179.99), (10.0, -179.99), (0.0, 0.0), (71.0, 20.0), (71.2, 21.0)] + [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(40)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "id long, lat double, lon double")
+    nm = lambda a, b: 2 * 3440.065 * math.asin(min(1, math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)))
+    for reach in (30.0, 900.0, 4000.0):
+        want = {(i, j) for i, a in enumerate(spots) for j, b in enumerate(spots) if nm(a, b) <= reach}
+        got = [(x.id, x.other) for x in places.near_pairs(df, df, reach).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    got = {(x.id, x.rank): x.other for x in places.nearest(df, df, 3, 30.0).collect()}
+    for i, a in enumerate(spots):
+        near = sorted((round(nm(a, b), 6), j) for j, b in enumerate(spots))[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in near]
+
+
+def test_longest_run_against_single_lines():
+    r = np.random.default_rng(5)
+    for n in (3, 4, 9, 40):
+        xy = r.uniform(-20, 20, (n, 2)) if n < 9 else np.stack([(10 + r.uniform(-4, 4, n)) * f(np.linspace(0, 2 * np.pi, n, endpoint=False)) for f in (np.cos, np.sin)], 1)
+        for bearing in (0, 37, 90, 161):
+            p = shapes._turned(xy, bearing)
+            q, best = np.roll(p, -1, 0), 0.0
+            for y in np.arange(p[:, 1].min() + 0.25, p[:, 1].max(), 0.5):
+                cut = (p[:, 1] > y) != (q[:, 1] > y)
+                x = np.sort(p[cut, 0] + (y - p[cut, 1]) / (q[cut, 1] - p[cut, 1]) * (q[cut, 0] - p[cut, 0]))
+                best = max(best, float((x[1::2] - x[::2]).max(initial=0.0)))
+            assert abs(shapes.longest_run(xy, bearing, 0.5) - best) < 1e-9

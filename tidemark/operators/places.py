@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo, waves
+from tidemark.storage import kept
 
 
 def within(places: DataFrame, lat: float, lon: float, nm: float) -> DataFrame:
@@ -17,40 +20,51 @@ def within(places: DataFrame, lat: float, lon: float, nm: float) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, nm: float) -> DataFrame:
-    """Pairs (id, other, nm) of `left` and `right` rows (id, lat, lon) within `nm`.
+    """Pairs (id, other, nm) of `left` and `right` rows (id, lat, lon) within `nm`, anywhere on the globe.
 
-    Rows meet in latitude-longitude cells at least `nm` wide; the right side is posted under its cell and the eight around it.
-    Between 70 degrees south and north.
+    Rows meet in cells: bands of latitude at least `nm` high, each cut into as many parts of the circle as leave them at least `nm` wide at the end nearer
+    a pole. The right side is posted under its band and those beside it, and in each under its part and those beside it.
     """
-    dlat, dlon = nm / 60, nm / 60 / 0.34
-    cy, cx = lambda c: F.floor(c / dlat), lambda c: F.floor(c / dlon)
+    reach, height = nm / geo.EARTH_NM, nm / 60
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    posted = right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cy(F.col("lat")).alias("_y"), cx(F.col("lon")).alias("_x"))
-    posted = posted.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumn("cy", F.col("_y") + F.col("_dy")).withColumn("cx", F.col("_x") + F.col("_dx"))
-    asks = left.select("id", "lat", "lon", cy(F.col("lat")).alias("cy"), cx(F.col("lon")).alias("cx"))
+
+    def parts(band: Column) -> Column:
+        widest = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
+        cos = F.when(widest < 90, F.cos(F.radians(widest))).otherwise(0.0)
+        ratio = math.sin(reach) * 1.0001 / cos
+        return F.when((F.lit(reach) < math.pi / 2) & (cos > 0) & (ratio < 1), F.greatest(F.floor(2 * math.pi / F.asin(ratio)), F.lit(1))).otherwise(F.lit(1)).cast("long")
+
+    part = lambda lon, n: F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n), n)
+    band = F.floor(F.col("lat") / height)
+    posted = right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.transform(around, lambda i: band + i)).alias("cy"))
+    posted = posted.withColumn("_n", parts(F.col("cy"))).withColumn("_x", part(F.col("lon2"), F.col("_n")))
+    posted = posted.withColumn("cx", F.explode(F.array_distinct(F.transform(around, lambda i: F.pmod(F.col("_x") + i, F.col("_n"))))))
+    asks = left.select("id", "lat", "lon", band.alias("cy")).withColumn("cx", part(F.col("lon"), parts(F.col("cy"))))
     met = asks.join(posted.select("other", "lat2", "lon2", "cy", "cx"), ["cy", "cx"])
     return met.select("id", "other", geo.distance_nm(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("nm")).where(F.col("nm") <= nm)
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, nm: float, widest: float = 3000.0) -> DataFrame:
-    """(id, rank, other, nm): the `k` nearest right rows of each left row, equals by id.
+def nearest(left: DataFrame, right: DataFrame, k: int, nm: float, widest: float = 10_900.0) -> DataFrame:
+    """(id, rank, other, nm): the `k` nearest right rows of each left row, equals by id. `left` ids are distinct.
 
-    Searches within `nm` first; rows that find fewer than `k` there search again at four times the distance, up to `widest`. A
-    row's candidates shrink to `k` in a partial aggregate, so dense cells stay cheap to move.
+    Searches within `nm` first; rows that find fewer than `k` there search again at four times the distance, until none is left (the default
+    `widest` spans the globe). Each round's result is kept, so the plan doesn't grow, and a window limit leaves `k` rows an id before its shuffle.
     """
-    out, left_over, distance = None, left.select("id", "lat", "lon"), nm
-    n_right = right.count()
+    want, out, left_over, distance = min(k, right.count()), None, left.select("id", "lat", "lon"), nm
+    order = Window.partitionBy("id").orderBy("nm", "other")
     while True:
-        pairs = near_pairs(left_over, right, distance)
-        best = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("nm", "other"))), 1, k).alias("found"))
-        enough = best.where(F.size("found") >= min(k, n_right))
-        last = distance >= widest
-        out = (best if last else enough) if out is None else out.unionByName(best if last else enough)
-        if last or n_right == 0:
-            break
-        left_over = left_over.join(enough.select("id"), "id", "left_anti")
+        best = near_pairs(left_over, right, distance).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = kept(best.select("id", "rank", "other", "nm"))
+        last = distance >= widest or want == 0
+        full = best.where(F.col("rank") == want).select("id")
+        done = best if last else best.join(full, "id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        left_over = kept(left_over.join(full, "id", "left_anti"))
+        if left_over.isEmpty():
+            return out
         distance = min(widest, distance * 4)
-    return out.select("id", F.posexplode("found").alias("p", "f")).select("id", (F.col("p") + 1).alias("rank"), F.col("f.other").alias("other"), F.col("f.nm").alias("nm"))
 
 
 def adaptive_cell(points: DataFrame, base: float = 0.1, most: int = 120, steps: int = 10) -> DataFrame:

@@ -63,25 +63,36 @@ def _turned(xy: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def longest_run(xy: np.ndarray, bearing: float, spacing: float) -> float:
-    """The longest stretch inside a ring along a bearing, over scan lines `spacing` apart."""
+    """The longest stretch inside a ring along a bearing, over scan lines `spacing` apart; all lines at once, from the edges that each crosses."""
     p = _turned(xy, bearing)
     q = np.roll(p, -1, 0)
-    low, best = p[:, 1].min(), 0.0
-    for y in np.arange(low + spacing / 2, p[:, 1].max(), spacing):
-        cut = (p[:, 1] > y) != (q[:, 1] > y)
-        x = np.sort(p[cut, 0] + (y - p[cut, 1]) / (q[cut, 1] - p[cut, 1]) * (q[cut, 0] - p[cut, 0]))
-        if len(x) > 1:
-            best = max(best, float((x[1::2] - x[::2]).max()))
-    return best
+    first = p[:, 1].min() + spacing / 2
+    low, high = np.minimum(p[:, 1], q[:, 1]), np.maximum(p[:, 1], q[:, 1])
+    start = np.maximum(np.floor((low - first) / spacing).astype(np.int64), 0)
+    n = np.maximum(np.ceil((high - first) / spacing).astype(np.int64) + 1 - start, 0)
+    edge = np.repeat(np.arange(len(p)), n)
+    line = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + start[edge]
+    y = first + line * spacing
+    cut = (p[edge, 1] > y) != (q[edge, 1] > y)
+    edge, line, y = edge[cut], line[cut], y[cut]
+    x = p[edge, 0] + (y - p[edge, 1]) / (q[edge, 1] - p[edge, 1]) * (q[edge, 0] - p[edge, 0])
+    x = x[np.lexsort((x, line))]  # a line crosses an even number of edges, so pairs never span lines
+    return float((x[1::2] - x[::2]).max(initial=0.0))
 
 
 def extents(spacing: float, bearings: int = 16):
     """A function of a ring column: array<double>, the longest run at each of so many bearings."""
+    half = [i * 360 / bearings for i in range(bearings // 2)]
+
+    def one(points) -> list[float] | None:
+        if points is None or len(points) < 3:
+            return None
+        xy = _ring(points)
+        return [longest_run(xy, b, spacing) for b in half] * 2
 
     @F.pandas_udf("array<double>")
     def run(rings: pd.Series) -> pd.Series:
-        half = [i * 360 / bearings for i in range(bearings // 2)]
-        return pd.Series([[longest_run(_ring(r), b, spacing) for b in half] * 2 if r is not None and len(r) > 2 else None for r in rings])
+        return rings.map(one)
 
     return run
 
@@ -93,9 +104,9 @@ def fetches(cap: float, bearings: int = 16):
     def run(rings: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = []
         for r, x, y in zip(rings, xs, ys, strict=True):
-            row = []
+            row, xy = [], _ring(r) - (x, y)
             for i in range(bearings):
-                p = _turned(_ring(r) - (x, y), i * 360 / bearings)
+                p = _turned(xy, i * 360 / bearings)
                 q = np.roll(p, -1, 0)
                 cut = (p[:, 1] > 0) != (q[:, 1] > 0)
                 ahead = p[cut, 0] - p[cut, 1] / (q[cut, 1] - p[cut, 1]) * (q[cut, 0] - p[cut, 0])

@@ -40,11 +40,15 @@ def unpacked(blobs: DataFrame, keys: list[str], blob: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, raw in enumerate(b.column(blob).to_pylist()):
-                r = np.frombuffer(raw or b"", RECORD, len(raw or b"") // 60)
-                lists = lambda v, unit: pa.FixedSizeListArray.from_arrays(pa.array(v.astype(float).ravel() * unit), v.shape[1]).cast(pa.list_(pa.float64()))
-                key = [pa.array([b.column(k)[i].as_py()] * len(r), b.schema.field(k).type) for k in keys]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(np.arange(len(r), dtype=np.int32)), *(pa.array(r[n].astype(t)) for n, t in (("lon", float), ("lat", float), ("depth_dm", np.int32), ("label", np.int32))), lists(r["fetch"], UNIT_M), lists(r["run"], UNIT_FT)], [*keys, "n", "lon", "lat", "depth_dm", "label", "fetch_m", "run_ft"])
+            raws = [x or b"" for x in b.column(blob).to_pylist()]
+            n = np.array([len(x) // 60 for x in raws], np.int64)
+            r = np.frombuffer(b"".join(x[: k * 60] for x, k in zip(raws, n, strict=True)), RECORD)
+            whose = np.repeat(np.arange(len(n)), n)
+            place = (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            lists = lambda v, unit: pa.FixedSizeListArray.from_arrays(pa.array(v.astype(float).ravel() * unit), v.shape[1]).cast(pa.list_(pa.float64()))
+            plain = [pa.array(r[name].astype(t)) for name, t in (("lon", float), ("lat", float), ("depth_dm", np.int32), ("label", np.int32))]
+            cols = [*(b.column(k).take(pa.array(whose)) for k in keys), pa.array(place), *plain, lists(r["fetch"], UNIT_M), lists(r["run"], UNIT_FT)]
+            yield pa.RecordBatch.from_arrays(cols, [*keys, "n", "lon", "lat", "depth_dm", "label", "fetch_m", "run_ft"])
 
     return blobs.select(*keys, blob).mapInArrow(run, f"{kinds}, n int, lon double, lat double, depth_dm int, label int, fetch_m array<double>, run_ft array<double>")
 
