@@ -14,7 +14,7 @@ to a bounded share of the corpus. The pair filter grows with the corpus: up to `
 stays in shards, a portion's tokens, summed by document and pair, are dealt to their pair's shard, and the partial sums of a document are
 added up. Words outside the head go the same way. A shard that is asked more than `group_bytes` answers in several groups, each with a copy of
 its filter, so a frequent pair or word is no one task's. No row is a single token on either way.
-The word filter (about a tenth of the pairs' size, growing as the vocabulary) is always broadcast.
+The word filter (about a tenth of the pairs' size, growing as the vocabulary) is always broadcast, without a bound: a known limit.
 
 Edge cases: null and blank texts are the end token alone; with nothing learned, N = V = 0 and every token has probability 1; rows that repeat a
 doc_id are scored each on its own.
@@ -45,9 +45,15 @@ END = xxhash.xxh3_64_intdigest(b" end")
 
 
 def portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, token hashes, row number of each token) for slices of about `limit` tokens; a text's last token is the end token."""
+    """(rows, token hashes, row number of each token) for about `limit` tokens at a time, from as many batches as that takes; a text's last token is the end token."""
+    held, parts, total = [], [], 0
+
+    def one() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return rows, np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
     for b in batches:
-        parts, first, total = [], 0, 0
+        first = 0
         for i, x in enumerate(b.column("text")):
             words = (x.as_py() or "").encode().lower().split()
             h = np.empty(len(words) + 1, _U)
@@ -55,9 +61,14 @@ def portions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa
             h[-1] = END
             parts.append(h)
             total += len(h)
-            if total >= limit or i == len(b) - 1:
-                yield b.slice(first, i + 1 - first), np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                parts, first, total = [], i + 1, 0
+            if total >= limit:
+                held.append(b.slice(first, i + 1 - first))
+                yield one()
+                held, parts, total, first = [], [], 0, i + 1
+        if first < len(b):
+            held.append(b.slice(first))
+    if held:
+        yield one()
 
 
 def pairs(h: np.ndarray) -> np.ndarray:
@@ -71,12 +82,10 @@ def _packed(keys: np.ndarray, shards: int, narrow: bool, kind: int, found: list)
     place = mixed(keys, 3) if not narrow else keys
     shard = (place % _U(shards)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        at = order[cuts[s] : cuts[s + 1]]
-        if len(at):
-            k = (keys[at] >> _U(32)).astype(np.uint32) if narrow else keys[at]
-            found.append((kind, s, k.tobytes(), counts[at].astype(np.uint32).tobytes()))
+    present, first = np.unique(shard[order], return_index=True)
+    for s, at in zip(present.tolist(), np.split(order, first[1:]), strict=True):
+        k = (keys[at] >> _U(32)).astype(np.uint32) if narrow else keys[at]
+        found.append((kind, s, k.tobytes(), counts[at].astype(np.uint32).tobytes()))
 
 
 def _start(key32: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
