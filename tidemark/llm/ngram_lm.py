@@ -14,7 +14,8 @@ to a bounded share of the corpus. The pair filter grows with the corpus: up to `
 stays in shards, a portion's tokens, summed by document and pair, are dealt to their pair's shard, and the partial sums of a document are
 added up. Words outside the head go the same way. A shard that is asked more than `group_bytes` answers in several groups, each with a copy of
 its filter, so a frequent pair or word is no one task's. No row is a single token on either way.
-The word filter (about a tenth of the pairs' size, growing as the vocabulary) is always broadcast, without a bound: a known limit.
+The word filter has the same bound: beyond it, portions are written with their tokens, their different words are asked of the word shards (which answer
+with exact counts too), and the answers return to their portion by its number. Then nothing of the model is broadcast.
 
 Edge cases: null and blank texts are the end token alone; with nothing learned, N = V = 0 and every token has probability 1; rows that repeat a
 doc_id are scored each on its own.
@@ -30,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import written
+from tidemark.llm.common import BROADCAST_ROWS, written
 from tidemark.llm.substrings import mixed
 
 BASE = 1.5
@@ -185,15 +187,52 @@ def _summed(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[first], np.diff(np.r_[first, len(k)]).astype(np.uint32)
 
 
-def dealt(packs: DataFrame, tables: DataFrame, group_bytes: int) -> tuple[DataFrame, DataFrame]:
+def dealt(packs: DataFrame, tables: DataFrame, group_bytes: int, shards: int = 1) -> tuple[DataFrame, DataFrame]:
     """Both with a `salt`: a shard's packs in groups of about `group_bytes` (a pack is never cut), and its row of `tables` once for each group."""
-    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("keys", "rids", "befores", "singles", "ns")), F.lit(0).cast("long"))
-    salts = F.broadcast(packs.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(length) / group_bytes)).alias("salts")))
-    salt = F.pmod(F.xxhash64("keys", "rids"), F.col("salts")).alias("salt")
+    length = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in packs.schema if isinstance(f.dataType, T.BinaryType)), F.lit(0).cast("long"))
+    salts = packs.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(length) / group_bytes)).alias("salts"))
+    if 2 * shards <= BROADCAST_ROWS:
+        salts = F.broadcast(salts)
+    salt = F.pmod(F.xxhash64(*packs.columns), F.col("salts")).alias("salt")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
     return packs.join(salts, "shard").select(*packs.columns, salt), tables.join(salts, "shard").select(*tables.columns, copies)
 
 
+def _asked(shards: int):
+    """Per portion: one row of its ids and tokens, and for each shard of words that occurs a row of the different words to ask it for."""
+
+    def run(batches):
+        for part, h, row in portions(batches, 200_000):
+            rid = part.column("rid").to_numpy()
+            distinct = np.unique(h)
+            place = (mixed(distinct, 3) % _U(shards)).astype(np.int32)
+            asks = [(int(s), distinct[place == s].tobytes()) for s in np.unique(place)]
+            k, ids = len(asks), part.column("doc_id")
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)] + [len(ids)] * k, pa.int32()), ids)
+            columns = [pa.array([int(rid[0])] * (k + 1), pa.int64()), pa.array([None] + [s for s, _ in asks], pa.int32()), pa.array([h.tobytes()] + [w for _, w in asks], pa.binary())]
+            columns += [pa.array([x.tobytes()] + [None] * k, pa.binary()) for x in (rid.astype(np.int64), np.bincount(row, minlength=len(rid)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["portion", "shard", "keys", "rids", "ns", "doc_ids"])
+
+    return run
+
+
+def _told(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A word shard's answers: for each of `left`'s rows of words their rough counts by the filter and their exact ones."""
+    out = []
+    if len(left) and len(right):
+        row = right.slice(0, 1).to_pylist()[0]
+        own = Filter(1, [{"shard": 0, "m": row["m"], "bits": row["bits"]}])
+        w, c = np.frombuffer(row["words"], _U), np.frombuffer(row["counts"], np.int64)
+    for keys in left["keys"].to_pylist() if len(left) else []:
+        k = np.frombuffer(keys, _U)
+        rough, exact = np.zeros(len(k)), np.zeros(len(k), np.int64)
+        if len(right):
+            i = np.minimum(np.searchsorted(w, k), len(w) - 1)
+            rough, exact = VALUES[own.levels(mixed(k, 3))], np.where(w[i] == k, c[i], 0)
+        out.append((rough.tobytes(), exact.tobytes()))
+    return pa.table({"portion": left["portion"] if len(left) else pa.array([], pa.int64()), "keys": left["keys"] if len(left) else pa.array([], pa.binary()), "rough": pa.array([r for r, _ in out], pa.binary()), "exact": pa.array([e for _, e in out], pa.binary())})
+
+
 def _head(shards: int):
     def run(batches):
         for b in batches:
@@ -214,11 +253,13 @@ def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20, gro
     sums = {r["kind"]: r for r in table.groupBy("kind").agg(F.sum("total").alias("total"), F.sum("n_keys").alias("n_keys"), F.sum(F.octet_length("bits")).alias("bytes")).collect()}
     tokens, vocabulary = (sums[0]["total"], sums[0]["n_keys"]) if sums else (0, 0)
     b = min(1.0, math.log(max(2, sums[1]["n_keys"])) / math.log(max(3, tokens))) if sums else 1.0
-    local = not sums or sums[1]["bytes"] <= max_broadcast
-    rows = table.where("kind = 0 or " + str(local)).select("kind", "shard", "m", "bits").toArrow().to_pylist()
+    words_local = not sums or sums[0]["bytes"] <= max_broadcast
+    local = words_local and (not sums or sums[1]["bytes"] <= max_broadcast)
+    sent = "true" if local else "kind = 0" if words_local else "false"
+    rows = table.where(sent).select("kind", "shard", "m", "bits").toArrow().to_pylist()
     filters = [Filter(shards, [r for r in rows if r["kind"] == k]) for k in (0, 1)]
     del rows
-    heads = table.where("kind = 0").select("words", "counts").mapInArrow(_head(shards), "words binary, counts binary").toArrow()
+    heads = table.where("kind = 0" if words_local else "false").select("words", "counts").mapInArrow(_head(shards), "words binary, counts binary").toArrow()
     words = np.frombuffer(b"".join(heads["words"].to_pylist()), _U)
     order = np.argsort(words)
     head = (words[order], np.frombuffer(b"".join(heads["counts"].to_pylist()), np.int64)[order])
@@ -230,42 +271,61 @@ def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20, gro
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"rid long, doc_id {id_type}, n_tokens long, n_known long, base_score double, score double, shard int, keys binary, rids binary, befores binary, singles binary, ns binary"
 
+    def scored(doc_ids: pa.Array, rid: np.ndarray, h: np.ndarray, row: np.ndarray, distinct: np.ndarray, at: np.ndarray, rough: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
+        """A portion's rows and packs; `rough` and `exact` are the counts of its `distinct` words, exact ones -1 where they are still to be asked for."""
+        n = len(rid)
+        single, before = (rough[at] + 1) / 10**below, np.r_[rough[np.searchsorted(distinct, _U(END))], rough[at][:-1]]
+        seen = exact[at] >= 0
+        base = np.bincount(row, np.where(seen, np.log10(np.maximum(exact[at], 0) + 1), 0.0), n) - below * np.bincount(row, minlength=n)
+        packs: list[tuple] = []
+        key = pairs(h)
+        if local:
+            total = np.bincount(row, pair_log10(VALUES[shared.value[0][1].levels(key)], before, single, b), n)
+        else:
+            total = np.zeros(n)
+            one, times = _summed(key, row)
+            place = (key[one] % _U(shards)).astype(np.int32)
+            for s in np.unique(place):
+                m = one[place == s]
+                packs.append((shards + int(s), (key[m] >> _U(32)).tobytes(), rid[row[m]].tobytes(), before[m].tobytes(), single[m].tobytes(), times[place == s].tobytes()))
+        rare, owner = h[~seen], row[~seen]
+        one, times = _summed(rare, owner)
+        rare, owner = rare[one], owner[one]
+        place = (mixed(rare, 3) % _U(shards)).astype(np.int32)
+        for s in np.unique(place):
+            m = place == s
+            packs.append((int(s), rare[m].tobytes(), rid[owner[m]].tobytes(), None, None, times[m].tobytes()))
+        k = len(packs)
+        gap = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
+        full = [pa.concat_arrays([pa.nulls(n, t), pa.array([p[j] for p in packs], t)]) for j, t in enumerate((pa.int32(), *[pa.binary()] * 5))]
+        ids = pa.concat_arrays([doc_ids, pa.nulls(k, doc_ids.type)])
+        return pa.RecordBatch.from_arrays([gap(rid, pa.int64()), ids, gap(np.bincount(row, minlength=n), pa.int64()), gap(np.bincount(row, exact[at] > 0, n).astype(np.int64), pa.int64()), gap(base, pa.float64()), gap(total, pa.float64()), *full], names)
+
     def run(batches):
-        (of_word, of_pair), (known, counts) = shared.value
+        (of_word, _), (known, counts) = shared.value
         for part, h, row in portions(batches, 200_000):
-            n, rid = len(part), part.column("rid").to_numpy()
             distinct, at = np.unique(h, return_inverse=True)
             i = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
             exact = np.where(known[i] == distinct, counts[i], -1) if len(known) else np.full(len(distinct), -1)
-            rough = VALUES[of_word.levels(mixed(distinct, 3))]
-            single, before = (rough[at] + 1) / 10**below, np.r_[rough[np.searchsorted(distinct, _U(END))], rough[at][:-1]]
-            seen = exact[at] >= 0
-            base = np.bincount(row, np.where(seen, np.log10(np.maximum(exact[at], 0) + 1), 0.0), n) - below * np.bincount(row, minlength=n)
-            packs: list[tuple] = []
-            key = pairs(h)
-            if local:
-                total = np.bincount(row, pair_log10(VALUES[of_pair.levels(key)], before, single, b), n)
-            else:
-                total = np.zeros(n)
-                one, times = _summed(key, row)
-                place = (key[one] % _U(shards)).astype(np.int32)
-                for s in np.unique(place):
-                    m = one[place == s]
-                    packs.append((shards + int(s), (key[m] >> _U(32)).tobytes(), rid[row[m]].tobytes(), before[m].tobytes(), single[m].tobytes(), times[place == s].tobytes()))
-            rare, owner = h[~seen], row[~seen]
-            one, times = _summed(rare, owner)
-            rare, owner = rare[one], owner[one]
-            place = (mixed(rare, 3) % _U(shards)).astype(np.int32)
-            for s in np.unique(place):
-                m = place == s
-                packs.append((int(s), rare[m].tobytes(), rid[owner[m]].tobytes(), None, None, times[m].tobytes()))
-            k = len(packs)
-            gap = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(k, kind)])
-            full = [pa.concat_arrays([pa.nulls(n, t), pa.array([p[j] for p in packs], t)]) for j, t in enumerate((pa.int32(), *[pa.binary()] * 5))]
-            ids = pa.concat_arrays([part.column("doc_id"), pa.nulls(k, part.schema.field("doc_id").type)])
-            yield pa.RecordBatch.from_arrays([gap(rid, pa.int64()), ids, gap(np.bincount(row, minlength=n), pa.int64()), gap(np.bincount(row, seen, n).astype(np.int64), pa.int64()), gap(base, pa.float64()), gap(total, pa.float64()), *full], names)
-
-    out = written(docs.mapInArrow(run, schema), "lm-scores")
+            yield scored(part.column("doc_id"), part.column("rid").to_numpy(), h, row, distinct, at, VALUES[of_word.levels(mixed(distinct, 3))], exact)
+
+    def run_told(left: pa.Table, right: pa.Table) -> pa.Table:
+        """As `run`, for a written portion and the answers about its words."""
+        h, rid, lengths = (np.frombuffer(left[c][0].as_py(), kind) for c, kind in (("keys", _U), ("rids", np.int64), ("ns", np.int64)))
+        keys, rough, exact = (np.frombuffer(b"".join(right[c].to_pylist()), kind) for c, kind in (("keys", _U), ("rough", np.float64), ("exact", np.int64)))
+        order = np.argsort(keys)
+        distinct, at = np.unique(h, return_inverse=True)
+        ids = left["doc_ids"].combine_chunks().flatten()
+        return pa.Table.from_batches([scored(ids, rid, h, np.repeat(np.arange(len(rid)), lengths), distinct, at, rough[order], exact[order])])
+
+    if words_local:
+        out = written(docs.mapInArrow(run, schema), "lm-scores")
+    else:
+        asked = written(docs.mapInArrow(_asked(shards), f"portion long, shard int, keys binary, rids binary, ns binary, doc_ids array<{id_type}>"), "lm-portions")
+        asks, known = dealt(asked.where("shard is not null").select("portion", "shard", "keys"), table.where("kind = 0").select("shard", "m", "bits", "words", "counts"), group_bytes, shards)
+        told = asks.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInArrow(_told, "portion long, keys binary, rough binary, exact binary")
+        whole = asked.where("shard is null").drop("shard")
+        out = written(whole.groupBy("portion").cogroup(told.groupBy("portion")).applyInArrow(run_told, schema), "lm-scores")
 
     def rest(left: pa.Table, right: pa.Table) -> pa.Table:
         """Partial sums of a group of a shard's packs: exact logs of rare words, or probabilities of pairs."""
@@ -292,7 +352,7 @@ def score(docs: DataFrame, training: Column, max_broadcast: int = 256 << 20, gro
     packs = out.where("shard is not null").select("shard", "keys", "rids", "befores", "singles", "ns")
     tables = table.where("kind = 0").withColumn("bits", F.lit(b"")) if local else table
     tables = tables.select((F.col("shard") + F.col("kind") * shards).alias("shard"), "m", "bits", "words", "counts")
-    packs, tables = dealt(packs, tables, group_bytes)
+    packs, tables = dealt(packs, tables, group_bytes, shards)
     added = packs.groupBy("shard", "salt").cogroup(tables.groupBy("shard", "salt")).applyInArrow(rest, "rid long, n_known long, base_score double, score double")
     whole = out.where("shard is null").select("rid", "doc_id", "n_tokens", "n_known", "base_score", "score")
     both = whole.unionByName(added.select("rid", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), "n_known", "base_score", "score"))
