@@ -39,13 +39,28 @@ def test_topk_against_brute_force(spark):
     v += [(90, None), (91, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (92, [float("nan")] * 6), (93, [float("inf")] * 6), (20, v[20][1])]
     df = frame(spark, v, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
     got = {(x.query_id, x.rank): (x.id, x.score) for x in topk.top_k(df, df.where("vec_id % 20 = 0"), 5).collect()}
-    q = {i: np.floor(np.array(x) * 64).astype(int) for i, x in v[:90]}
+    q = [(i, np.floor(np.array(x) * 64).astype(int)) for i, x in [*v[:90], v[-1]]]
     for i in range(0, 81, 20):
-        want = sorted(((j, int(q[i] @ x)) for j, x in q.items() if j != i), key=lambda p: (-p[1], p[0]))[:5]
+        want = sorted(((j, int(a @ x)) for own, a in q if own == i for j, x in q if j != i), key=lambda p: (-p[1], p[0]))[:5]
         assert [got[i, k] for k in range(1, 6)] == want
     assert topk.top_k(df.where("vec_id < 0"), df, 5).count() == 0
 
 
+def test_topk_keeps_every_row_of_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    r = np.random.default_rng(5)
+    v = [(int(i), [float(x) for x in r.integers(-4, 5, 4) / 16]) for i in r.integers(0, 60, 80)]
+    v += [(7, [1.0, 1.0, 1.0, 1.0])] * 30 + [(40, [0.5, 0.25, 0.5, 0.25])] * 9 + [(40, [-0.5, 0.25, 0.0, 0.25])]
+    df = frame(spark, v, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.rank): (x.id, x.score) for x in topk.top_k(df, df.where("vec_id % 20 = 0"), 12).collect()}
+    q = [(i, np.floor(np.array(x) * 64).astype(int)) for i, x in v]
+    want = {}
+    for i in {i for i, _ in v if i % 20 == 0}:
+        best = sorted(((j, int(a @ x)) for own, a in q if own == i for j, x in q if j != i), key=lambda p: (-p[1], p[0]))[:12]
+        want |= {(i, k): b for k, b in enumerate(best, 1)}
+    assert got == want
+
+
 @pytest.mark.parametrize(("width", "percent"), [(4, 80), (5, 80), (2, 80)])
 def test_near_duplicates_against_brute_force(spark, width, percent):
     rows = corpus(5, long=4000)
@@ -190,7 +205,9 @@ def test_language_model_splits_what_one_shard_is_asked(spark, monkeypatch):
     found = lambda **kw: {x.doc_id: x for x in ngram_lm.score(docs, F.lit(True), **kw).collect()}
     whole = found()
     monkeypatch.setattr(ngram_lm, "HEAD_WORDS", 12)
-    for kw in ({"max_broadcast": 0, "group_bytes": 100}, {"group_bytes": 100}):
+    sizes = {x.kind: x.bytes for x in ngram_lm.learn(docs, 12).groupBy("kind").agg(F.sum(F.octet_length("bits")).alias("bytes")).collect()}
+    assert sizes[0] < sizes[1]
+    for kw in ({"max_broadcast": 0, "group_bytes": 100}, {"max_broadcast": sizes[0], "group_bytes": 100}, {"group_bytes": 100}):
         got = found(**kw)
         assert got.keys() == whole.keys()
         for d, x in got.items():

@@ -11,7 +11,9 @@ and a block is a task's unit, so nothing is collected. Only k rows for each quer
 keeps k rows a query before its shuffle too.
 
 Edge cases: vectors that are null, empty, or hold nulls, NaN or infinities take no part; vectors of other lengths count as padded with 0;
-a repeated id counts once, with the smallest of its vectors; ties go to the smaller id; a query with fewer than k candidates gets all.
+a repeated id counts as often as it occurs, with each of its vectors, and as a query gathers the candidates of all of them; its own id is no
+candidate. Equal rows (id and vector) are kept up to k times, as no ranking of k can hold more. Ties go to the smaller id; a query with fewer than k
+candidates gets all.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ BLOCK_ROWS = 16_384
 QUERY_ROWS = 128
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id long, q array<long>): floor(scale * component) of the vectors that take part, one row an id."""
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int, k: int) -> DataFrame:
+    """(id long, q array<long>, copy long): floor(scale * component) of the vectors that take part; equal rows are numbered, to `k` of them."""
     usable = (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
     ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), ints.alias("q"))
-    return rows.groupBy("id").agg(F.min("q").alias("q"))
+    counted = rows.groupBy("id", "q").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("id", "q", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))).alias("copy"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,12 +126,12 @@ def _search(q: np.ndarray, own: int, slices: np.ndarray, low: int, ids: np.ndarr
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, id, score): each query's `k` rows of `vectors` with the highest integer inner product, its own id excluded."""
-    rows, asks = quantised(vectors, id_col, vector_col, scale), quantised(queries, id_col, vector_col, scale)
+    rows, asks = (quantised(x, id_col, vector_col, scale, k) for x in (vectors, queries))
     n_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     n_batches = max(1, -(-queries.count() // QUERY_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "q", "copy"), F.lit(n_blocks)).cast("int"))
     index = rows.groupBy("block").applyInArrow(_sliced, "block int, ids binary, low long, dims int, slices binary")
-    asks = asks.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int").alias("batch")).agg(F.collect_list(F.struct("id", "q")).alias("asks"))
+    asks = asks.groupBy(F.pmod(F.xxhash64("id", "q", "copy"), F.lit(n_batches)).cast("int").alias("batch")).agg(F.collect_list(F.struct("id", "q")).alias("asks"))
     asks = asks.select("asks", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def search(batches):
