@@ -62,8 +62,8 @@ def _turned(xy: np.ndarray, degrees: float) -> np.ndarray:
     return xy @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
 
 
-def longest_run(xy: np.ndarray, bearing: float, spacing: float) -> float:
-    """The longest stretch inside a ring along a bearing, over scan lines `spacing` apart; all lines at once, from the edges that each crosses."""
+def longest_piece(xy: np.ndarray, bearing: float, spacing: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The longest stretch inside a ring along a bearing, over scan lines `spacing` apart, and its ends; all lines at once, from the edges that each crosses."""
     p = _turned(xy, bearing)
     q = np.roll(p, -1, 0)
     first = p[:, 1].min() + spacing / 2
@@ -76,8 +76,18 @@ def longest_run(xy: np.ndarray, bearing: float, spacing: float) -> float:
     cut = (p[edge, 1] > y) != (q[edge, 1] > y)
     edge, line, y = edge[cut], line[cut], y[cut]
     x = p[edge, 0] + (y - p[edge, 1]) / (q[edge, 1] - p[edge, 1]) * (q[edge, 0] - p[edge, 0])
-    x = x[np.lexsort((x, line))]  # a line crosses an even number of edges, so pairs never span lines
-    return float((x[1::2] - x[::2]).max(initial=0.0))
+    order = np.lexsort((x, line))  # a line crosses an even number of edges, so pairs never span lines
+    x, y = x[order], y[order]
+    runs = x[1::2] - x[::2]
+    if not len(runs) or runs.max() <= 0:
+        return 0.0, xy[0], xy[0]
+    i = 2 * int(runs.argmax())
+    ends = _turned(np.array([(x[i], y[i]), (x[i + 1], y[i])]), 180 - bearing)  # the turn back
+    return float(runs.max()), ends[0], ends[1]
+
+
+def longest_run(xy: np.ndarray, bearing: float, spacing: float) -> float:
+    return longest_piece(xy, bearing, spacing)[0]
 
 
 def extents(spacing: float, bearings: int = 16):
