@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, mixing, neardup, ngram_lm, quality, substrings, topk, toxicity, warc
+from tidemark.llm import collocations, decontam, langid, mixing, neardup, ngram_lm, quality, resampling, substrings, topk, toxicity, urlfilter, warc
 from tidemark.llm.common import held_out, new_path
 
 
@@ -142,9 +142,107 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 
+#: Fixed values of the query: verdict, host, path.
+URL_RULES = (
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+)
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP11_SQL = r"""
+WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, h, p)),
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?i)<(?:link|meta)\s[^<>]*>')) AS tag FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+attrs AS (SELECT *, list_transform(['rel', 'href', 'http-equiv', 'content'], lambda a: replace(trim(list_aggregate(list_transform([1, 2, 3], lambda g:
+            CASE g WHEN 1 THEN regexp_extract(tag, '(?i)\s' || a || '\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) WHEN 2 THEN regexp_extract(tag, '(?i)\s' || a || '\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2)
+              ELSE regexp_extract(tag, '(?i)\s' || a || '\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3) END), 'string_agg', '')), '&amp;', '&')) AS v FROM tags),
+links AS (SELECT url, v[2] AS link FROM attrs WHERE tag ILIKE '<link%' AND regexp_matches(lower(v[1]), '(^|\s)canonical(\s|$)')
+          UNION SELECT url, trim(regexp_extract(v[4], '(?i)^\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*[''"]?\s*([^''"]+)', 1)) FROM attrs WHERE tag ILIKE '<meta%' AND lower(v[3]) = 'refresh'),
+based AS (SELECT url, regexp_replace(link, '(?s)#.*$', '') AS link, regexp_extract(url, '^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM links),
+whole AS (SELECT url, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(link, '(?i)^https?://[^/?#]') THEN link END
+            WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link WHEN starts_with(link, '?') THEN scheme || '://' || host || path || link
+            ELSE scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || link END AS target FROM based),
+named AS (SELECT DISTINCT u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+            translate(regexp_extract(u, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS scheme, regexp_extract(u, '^[^?#]*(\?[^#]*)', 1) AS query
+          FROM (SELECT url AS u FROM pages UNION SELECT target FROM whole) WHERE u LIKE '%://%'),
+dots AS (SELECT u, host, path, scheme || '://' || host || CASE WHEN path = '' THEN '/' WHEN regexp_matches(path, '/\.\.?(/|$)')
+            THEN '/' || array_to_string(list_reduce(list_transform(string_split(path, '/')[2:], lambda s: [s]), lambda acc, s: CASE s[1] WHEN '.' THEN acc WHEN '..' THEN acc[:-2] ELSE acc || s END, CAST([] AS VARCHAR[])), '/')
+              || CASE WHEN regexp_matches(path, '/\.\.?$') AND len(list_reduce(list_transform(string_split(path, '/')[2:], lambda s: [s]), lambda acc, s: CASE s[1] WHEN '.' THEN acc WHEN '..' THEN acc[:-2] ELSE acc || s END, CAST([] AS VARCHAR[]))) > 0 THEN '/' ELSE '' END
+            ELSE path END || query AS address FROM named),
+ruled AS (SELECT d.u, d.address, d.host, d.path, (arg_max(r.h || r.p, length(r.h || r.p))) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+          FROM dots d LEFT JOIN rules r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p) GROUP BY ALL),
+edges AS (SELECT DISTINCT a.address AS a, b.address AS b FROM whole w JOIN dots a ON a.u = w.url JOIN dots b ON b.u = w.target WHERE a.address <> b.address),
+met AS (SELECT address AS source, address AS node FROM ruled WHERE verdict = 'block' AND address IN (SELECT a FROM edges UNION SELECT b FROM edges)
+        UNION SELECT m.source, e.b FROM met m JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON m.node = e.a),
+least_of AS (SELECT node, min(source) AS blocked_by FROM met GROUP BY node)
+SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule, coalesce(r.verdict, CASE WHEN f.node IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN r.rule IS NULL THEN f.blocked_by END AS blocked_by
+FROM pages p LEFT JOIN ruled r ON r.u = p.url LEFT JOIN least_of f ON f.node = r.address
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), low=1, high=1, buckets=10_000, seed="2024", min_words=20, percent=10)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+dw AS (SELECT row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+w AS (SELECT word, xor(list_reduce(list_transform(range(1, CAST(length(hex(encode(word))) AS BIGINT), 2), lambda j: CAST('0x' || substr(hex(encode(word)), j, 2) AS BIGINT)),
+               lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS n FROM dw JOIN w USING (word) GROUP BY bucket),
+t AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS n FROM bw JOIN w USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS gain
+      FROM (SELECT DISTINCT bucket FROM w) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+m AS (SELECT row, count(*) AS n, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM dw JOIN w USING (word) JOIN g USING (bucket) GROUP BY row),
+x AS (SELECT d.row, d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN m USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (row)
+"""
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"), longest=5, least=100, percent=100, first=2000)
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) r(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
+c AS MATERIALIZED (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 100),
+parts AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS part, f FROM f WHERE f >= 100),
+ends AS MATERIALIZED (SELECT lang, g, k, a, j, array_to_string(g[1 : j], ' ') AS head, array_to_string(g[j + 1 : k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+cuts AS (SELECT e.lang, e.g, e.k, e.a, j, l.f AS l, r.f AS r, s.n, (1000 * CAST(e.a AS HUGEINT) * CAST(s.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score
+         FROM ends e JOIN parts l ON l.lang = e.lang AND l.part = e.head JOIN parts r ON r.lang = e.lang AND r.part = e.tail JOIN s ON s.lang = e.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_of AS (SELECT lang, g[i : i + m - 1] AS g, max(a) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM best b LEFT JOIN inner_of o ON o.lang = b.lang AND o.g = b.g WHERE coalesce(100 * o.longer < 100 * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op4_bloom_lm, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate, op9_language_ftrl, op10_recompression_dedup)}
+    found = (
+        op1_topk_bitsliced, op2_toxicity_svm, op3_minhash_neardup, op4_bloom_lm, op5_mix_sources, op6_warc_roundtrip, op7_quality_subwords, op8_winnow_decontaminate,
+        op9_language_ftrl, op10_recompression_dedup, op11_url_filters, op12_importance_resampling, op13_phrase_collocations,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_bitsliced": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_warc_roundtrip": OP6_SQL, "op8_winnow_decontaminate": OP8_SQL, "op10_recompression_dedup": OP10_SQL}
+    return {
+        "op1_topk_bitsliced": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_warc_roundtrip": OP6_SQL, "op8_winnow_decontaminate": OP8_SQL, "op10_recompression_dedup": OP10_SQL,
+        "op11_url_filters": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_phrase_collocations": OP13_SQL,
+    }
