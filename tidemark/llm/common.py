@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 200_000
 #: Values of arrays in a broadcast table, and bytes of texts in a training sample, at most.
 BROADCAST_VALUES, SAMPLE_BYTES = 4_000_000, 64 << 20
-#: Values that a stratified sample distinguishes, at most.
-CLASSES = 500
 #: Rows of whole texts in an Arrow batch, at most.
 ARROW_ROWS, BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`; Python's bytes.split() has the same set.
@@ -104,31 +102,33 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def sample_of(df: DataFrame, by: str, keys: list[str], rows: int, most_bytes: int = SAMPLE_BYTES) -> list:
     """[(text, value of `by`)] for at most `rows` distinct rows of `df` (`keys`: its columns, text among them), as even over the values as they allow.
 
-    Rows are chosen by a hash of their whole content, so repeated ids don't come all or none and reruns choose the same. Values beyond the `CLASSES` most
-    frequent ones are left out. Texts are taken in the order of their hashes while they hold less than `most_bytes` together: the driver's share is bounded.
+    Rows are chosen by a hash of their whole content, so repeated ids don't come all or none and reruns choose the same. Every value that is not null gets one row
+    at least, even where there are more values than `rows`. The others are taken in the order of their hashes; one that would make the sample longer than
+    `most_bytes` is passed over.
     """
-    df = df.select(*keys, F.xxhash64(*keys, F.lit("sample")).alias("h"))
-    counts = df.groupBy(by).agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), by).limit(CLASSES).collect()
+    df = df.where(F.col(by).isNotNull()).select(*keys, F.xxhash64(*keys, F.lit("sample")).alias("h"))
+    counts = df.groupBy(by).agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("first")).collect()
     if not counts:
         return []
+    counts.sort(key=lambda r: (r["n"], repr(r[by])))
     rates, quotas, left = [], {}, rows
-    for i, r in enumerate(reversed(counts)):  # rare values first; what they can't fill goes to the others
+    for i, r in enumerate(counts):  # rare values first; what they can't fill goes to the others
         quota = max(1, left // (len(counts) - i))
-        left, quotas[r[by]] = left - min(quota, r["n"]), quota
-        rates += [F.lit(r[by]), F.lit(int(min(1.0, 1.3 * quota / max(1, r["n"])) * 1_000_000))]
-    rate = F.element_at(F.create_map(*rates), F.col(by))
-    chosen = written(df.where(F.pmod("h", F.lit(1_000_000)) < F.coalesce(rate, F.lit(0))).distinct(), "sample")
+        left, quotas[r[by]] = max(0, left - min(quota, r["n"])), quota
+        rates.append((r[by], int(min(1.0, 1.3 * quota / max(1, r["n"])) * 1_000_000), r["first"]))
+    kind = df.schema[by].dataType.simpleString()
+    rates = small(df.sparkSession.createDataFrame(rates, f"`{by}` {kind}, rate int, first long"))
+    chosen = df.join(rates, by).where((F.col("h") == F.col("first")) | (F.pmod("h", F.lit(1_000_000)) < F.col("rate")))
+    chosen = written(chosen.select(*keys, "h", (F.col("h") == F.col("first")).alias("due")).distinct(), "sample")
     keep, total = {}, 0
-    for r in chosen.select("h", by, F.octet_length("text").alias("n")).orderBy("h").limit(4 * rows).collect():
-        total += r["n"] or 0
-        if keep and total > most_bytes:
-            break
-        quotas[r[by]] -= 1
-        if quotas[r[by]] >= 0:
+    for r in chosen.select("h", by, "due", F.octet_length("text").alias("n")).orderBy(F.desc("due"), "h").limit(4 * rows + len(counts)).collect():
+        if r["due"] or (quotas[r[by]] > 0 and total + (r["n"] or 0) <= most_bytes):
+            quotas[r[by]] -= 1
+            total += r["n"] or 0
             keep[r["h"]] = r[by]
-    last = max(keep, default=None)
-    found = chosen.where(F.col("h") <= last).select("h", "text", by).toLocalIterator() if keep else []
-    out = sorted(((r["text"], r[by]) for r in found if r["h"] in keep), key=repr)
+    last = max(keep)
+    found = chosen.where((F.col("h") <= last) | F.col("due")).select("h", "text", by).toLocalIterator()
+    out = sorted({(r["text"], r[by]) for r in found if r["h"] in keep}, key=repr)
     discard(chosen)
     return out
 
@@ -142,7 +142,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     rate = F.when(F.col("label") == 1, F.lit(4 * rows / max(1, counts.get(1, 0)))).otherwise(F.lit(4 * rows / max(1, counts.get(0, 0))))
     chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1_000_000)) < rate * 1_000_000)
-    found = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), "labelled")
+    found = written(docs.select("doc_id", "text").join(small(chosen), "doc_id").select("text", "label"), "labelled")
     out = sample_of(found, "label", ["text", "label"], rows)
     discard(found)
     return out

@@ -7,12 +7,13 @@ sides carry, to the shared windows themselves. Items shorter than a window are o
 the hash of the whole.
 
 Scale: one pass over the documents; the fingerprint rows carry their 15 words of context, so texts never move. The fingerprints
-of the benchmark are broadcast if they are few (counted), else the join is shuffled; the row that stands for a document without hits has
+of the benchmark are broadcast if they, their contexts and their lists of items are few (all counted), else the join is shuffled; the row that stands for a document without hits has
 a key of its own there, so no task gets them all. Equal fingerprints of several items are one row with a list of items, and the result is
 grouped by document, never by passage.
 
 Edge cases: null and blank texts have no words and no hits; rows with the same doc_id are judged each on its own, by their text, so
-equal rows get equal results, a row each; an empty benchmark leaves every document clean; items without words never occur; further columns
+equal rows get equal results, a row each; an empty benchmark leaves every document clean; items without words never occur;
+items without an id are one item, which is counted but has no name to list; further columns
 of either table, of whatever name, are ignored.
 """
 
@@ -23,10 +24,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, text_key
+from tidemark.llm.common import small_lists, text_key
 
+#: Rows of fingerprints in a broadcast, at most; each holds about 16 numbers, and longer lists of items count more.
+FINGERPRINT_ROWS = 250_000
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-FINGERPRINT_ROWS = 500_000
 #: The bits of a gram that are hash; those below hold its position.
 HASH_MASK = -(1 << 30)
 
@@ -86,8 +88,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, k: int =
     # At most window - 1 lengths are below a window: a bounded list for the driver.
     short = sorted(r[0] for r in items.where(F.size("wh").between(1, window - 1)).select(F.size("wh")).distinct().collect())
     marks = items.select("item_id", F.explode(_anchors(window, k, short, -2, True)).alias("a")).select("item_id", "a.*")
-    marks = marks.groupBy("n", "h", F.col("ctx").alias("item_ctx")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    marks = small(marks, FINGERPRINT_ROWS)
+    marks = marks.groupBy("n", "h", F.col("ctx").alias("item_ctx")).agg(F.array_sort(F.collect_set(F.struct("item_id"))).alias("items"))  # structs, so a null id stays
+    marks = small_lists(marks, "item_ctx", "items", most=16 * FINGERPRINT_ROWS)
     # The document's own row: n is 0, which no fingerprint has, and h spreads the documents over the tasks of a shuffled join.
     own = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("n"), F.xxhash64("text_key", "doc_id").alias("h"), F.array().cast("array<bigint>").alias("ctx")))
     rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), word_hashes(F.col("text")).alias("wh"))
@@ -104,6 +106,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, k: int =
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.count_if(F.col("p") < 0).cast("int").alias("rows"),
     )
+    found = found.withColumn("items", F.transform("items", lambda i: i["item_id"]))
     return found.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).drop("row", "rows")
 
 

@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from tidemark.llm.common import boxed, discard, free_shuffles, short_batches, small, small_lists, text_key, unboxed, written
 
 ROUNDS, MOST_ROUNDS = 3, 60
-#: A place in a document is tag * 2^24 + the word's number. The tag is 0 but for doc_ids with several texts: there it has 39 bits of the text's hash.
-PLACE = 24
+#: A place in a document is tag * 2^30 + the word's number: a text is below 2 GB, so it has no more words. The tag is 0 but for doc_ids with several texts: there
+#: it has 33 bits of the text's hash.
+PLACE = 30
 _U = np.uint64
 
 

@@ -13,7 +13,7 @@ keeps k rows a query before its shuffle too.
 Edge cases: vectors that are null, empty, or hold nulls, NaN or infinities take no part; vectors of other lengths count as padded with 0;
 a repeated id counts as often as it occurs, with each of its vectors, and as a query gathers the candidates of all of them; its own id is no
 candidate. Equal rows (id and vector) are kept up to k times, as no ranking of k can hold more. Ties go to the smaller id; a query with fewer than k
-candidates gets all.
+candidates gets all. Quantised components saturate at +-10^15. Scores are exact beyond 64 bits and rank so; one that a long can't hold is given as the end of its range.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Quantised components are at most this far from 0, so every sum has fewer than 127 bits.
+MOST = 10**15
+#: A score is high * 2^62 + low.
+LOW_BITS = 62
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 128
 
@@ -30,7 +34,7 @@ QUERY_ROWS = 128
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int, k: int) -> DataFrame:
     """(id long, q array<long>, copy long): floor(scale * component) of the vectors that take part; equal rows are numbered, to `k` of them."""
     usable = (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
-    ints = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    ints = F.transform(vector_col, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long"))
     rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), ints.alias("q"))
     counted = rows.groupBy("id", "q").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("id", "q", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))).alias("copy"))
@@ -84,8 +88,8 @@ def _added(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray | None]:
     return out
 
 
-def _search(q: np.ndarray, own: int, slices: np.ndarray, low: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a block for one query: (ids, scores)."""
+def _search(q: np.ndarray, own: int, slices: np.ndarray, low: int, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of a block for one query: (ids, high and low parts of their scores)."""
     n, bits = len(ids), slices.shape[1]
     live = np.packbits(np.concatenate([ids != own, np.zeros(slices.shape[2] * 64 - n, bool)]), bitorder="little").view(np.uint64)
     columns: dict[int, list[np.ndarray]] = {}
@@ -95,12 +99,12 @@ def _search(q: np.ndarray, own: int, slices: np.ndarray, low: int, ids: np.ndarr
     for sign, source in ((1, slices), (-1, inverted)):
         mag = np.maximum(q * sign, 0)
         if sign < 0:
-            base -= int(mag.sum()) * ((1 << bits) - 1)
+            base -= sum(mag.tolist()) * ((1 << bits) - 1)
         for j in range(int(mag.max(initial=0)).bit_length()):
             if (at := np.flatnonzero((mag >> j) & 1)).size:
                 for b in range(bits):
                     columns.setdefault(j + b, []).append(source[at, b])
-    base += int(q.sum()) * low
+    base += sum(q.tolist()) * low
     total = _added(columns)
     above, tied, have = np.zeros_like(live), live, 0
     for s in reversed(total):
@@ -117,11 +121,18 @@ def _search(q: np.ndarray, own: int, slices: np.ndarray, low: int, ids: np.ndarr
                 break
     # Rows in `above` beat the boundary; those in `tied` share its score, and ids ascend within a block.
     rows = np.concatenate([np.flatnonzero(_bits(above)), np.flatnonzero(_bits(tied))[: k - have]])
-    score = np.full(len(rows), base, np.int64)
+    mask = (1 << LOW_BITS) - 1
+    high_part, low_part = np.full(len(rows), base >> LOW_BITS, np.int64), np.full(len(rows), base & mask, np.int64)
+    bits_below = np.zeros(len(rows), np.int64)
     for w, s in enumerate(total):
         if s is not None:
-            score += ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << w
-    return ids[rows], score
+            bit = ((s[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
+            if w < LOW_BITS:
+                bits_below += bit << w
+            else:
+                high_part += bit << (w - LOW_BITS)
+    low_part += bits_below  # both are below 2^62
+    return ids[rows], high_part + (low_part >> LOW_BITS), low_part & mask
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -139,16 +150,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], "<i8")
                 slices = np.frombuffer(r["slices"], np.uint64).reshape(r["dims"], -1, -(-len(ids) // 64))
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for ask in r["asks"]:
                     q = np.zeros(r["dims"], np.int64)
                     given = np.array(ask["q"][: r["dims"]], np.int64)
                     q[: len(given)] = given
-                    found, score = _search(q, ask["id"], slices, r["low"], ids, k)
-                    for o, v in zip(out, (np.full(len(found), ask["id"]), found, score), strict=True):
+                    found, high, low = _search(q, ask["id"], slices, r["low"], ids, k)
+                    for o, v in zip(out, (np.full(len(found), ask["id"]), found, high, low), strict=True):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], ["query_id", "id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], ["query_id", "id", "high", "low"])
 
-    found = asks.join(index, "block").mapInArrow(search, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    found = asks.join(index, "block").mapInArrow(search, "query_id long, id long, high long, low long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "id")
+    held = F.when(F.col("high") > 1, (1 << 63) - 1).when(F.col("high") < -2, -(1 << 63)).otherwise(F.shiftleft("high", LOW_BITS).bitwiseOR(F.col("low")))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", held.alias("score"))
