@@ -19,7 +19,11 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 
 # The patterns that classify a rule's text, with what they mean, in order.
 SHORE_BUFFER = r"(?i)within\s+100\s+feet\s+of\s+any\s+shore|maintain\s+a\s+distance\s+of\s+100\s+feet\s+from\s+the\s+shoreline"
-NOT_APPLICABLE = r"(?i)\bairboat|rubber\s+rafts?|inflatable\s+raft|flotation|floating\s+device|moored,\s+docked,?\s+or\s+anchored|unlawful\s+to\s+anchor\s+or\s+moor|obstruct\s+or\s+restrict\s+the\s+passage|more\s+than\s+\d+\s+persons?\s+at\s+\d+\s+time"
+AIRBOAT = r"\bairboat"
+RAFT = r"rubber\s+rafts?|inflatable\s+raft|flotation|floating\s+device"
+MOORING = r"moored,\s+docked,?\s+or\s+anchored|unlawful\s+to\s+anchor\s+or\s+moor|obstruct\s+or\s+restrict\s+the\s+passage"
+HEADCOUNT = r"more\s+than\s+\d+\s+persons?\s+at\s+\d+\s+time"
+NOT_APPLICABLE = f"(?i){AIRBOAT}|{RAFT}|{MOORING}|{HEADCOUNT}"  # one kind for all four
 SWIM_AREA = r"(?i)areas?\s+prohibited\s+to\s+boating|swimming,?\s+bathing\s+or\s+wading|swim\s+areas?|swimming\s+areas?"
 PERSONAL_CRAFT = r"(?i)personal\s+watercraft|\bPWC\b|jet\s?ski"
 ELECTRIC_ONLY = r"(?i)except\s+an\s+electric\s+motor|other\s+tha[nt]\s+an\s+electric|electric\s+motors?\s+only|except\s+electric\s+motors?"
@@ -30,10 +34,10 @@ SLOW_NO_WAKE = r"(?i)slow-?-?\s?no[\s-]?wake"
 TOWING = r"(?i)have\s+in\s+tow|assist(?:ing)?\s+in\s+the\s+propulsion|water\s*ski|water\s*sled|to\s+tow\b"
 SPEED = r"(?i)(\d{1,3}(?:\.\d+)?)\s*(?:statute\s+)?miles?\s+per\s+hour"
 TIME = r"\d{1,2}:\d{2}\s*[ap]\.?\s?m\.?"
-HOURS = r"(?i)(?:between\s+the\s+hours\s+of|during\s+the\s+period\s+(?:from|of)|between\s+the\s+hours|between|from)\s+(" + TIME + r")\s*(?:and|to|until)\s*(" + TIME + ")"
+HOURS = rf"(?i)(?:between(?:\s+the\s+hours(?:\s+of)?)?|from|during\s+the\s+period\s+of)\s+({TIME})\s*(?:and|to|until)\s*({TIME})"
 SUNSET = r"(?i)(\d+\s+hours?\s+after\s+sunset\s+to\s+\d+\s+hours?\s+before\s+sunrise)"
 HOLIDAYS = r"(?i)Memorial\s+Day\s+(?:through|to|until)\s+Labor\s+Day"
-MONTH_LIST = r"(?i)during\s+(?:the\s+months?\s+of\s+)?((?:(?:" + "|".join(MONTHS) + r")(?:\s*,\s*and\s+|\s*,\s*|\s+and\s+|\s*,?\s*)?)+)"
+MONTH_LIST = rf"(?i)during\s+(?:the\s+months?\s+of\s+)?((?:(?:{'|'.join(MONTHS)})(?:(?:\s*,\s*|\s+)(?:and\s+)?)?)+)"
 
 
 def blank_to_null(text: Column) -> Column:

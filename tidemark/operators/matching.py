@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.linkage import ACCEPT, REVIEW
+from tidemark.storage import kept
 
 #: Fixed value: ids are positive and of 31 bits.
 ID_MASK = 0x7FFFFFFF
@@ -72,18 +73,38 @@ def numbered(rows: DataFrame, keys: list[str], id_col: str, order: str) -> DataF
     return rows.withColumn("_n", n).withColumn(id_col, F.when(F.col("_n") > 1, F.concat(id_col, F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(id_col))).drop("_n")
 
 
-def bumped(rows: DataFrame, id_col: str, order: list[str], rounds: int = 20) -> DataFrame:
-    """`rows` with distinct ids: of rows that share one, the first by `order` keeps it and each further one takes the next number.
+def _raised(rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """`rows` with `_new`: in the order of the ids, then `order`, each takes its own id or the number after the one before it, whichever is larger.
 
-    Each round moves only rows that collide, so one pass settles all but chains; it ends when a count finds none.
+    That is the row's place plus the largest difference of id and place so far. Rows are sorted over all partitions; only a partition's count and
+    largest difference meet in one place, and a partition's own running maximum is taken within it.
     """
-    for _ in range(rounds):
-        n = F.row_number().over(Window.partitionBy(id_col).orderBy(*order))
-        moved = (F.col(id_col) + F.col("_n") - 1).bitwiseAND(F.lit(ID_MASK))
-        rows = rows.withColumn("_n", n).withColumn(id_col, F.when(F.col("_n") == 1, F.col(id_col)).when(moved == 0, F.lit(1)).otherwise(moved).cast(rows.schema[id_col].dataType)).drop("_n")
-        if rows.groupBy(id_col).count().where("count > 1").isEmpty():
-            return rows
-    raise ValueError("ids still collide")
+    placed = kept(rows.orderBy(id_col, *order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    gap = F.col(id_col).cast("long") - F.col("_place")
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition of the sort
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.max(gap).alias("_gap"))
+    parts = parts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_top", F.max(F.col("_gap") - F.col("_first")).over(before))
+    found = placed.join(F.broadcast(parts.select("_part", "_first", "_top")), "_part")
+    own = F.max(gap).over(Window.partitionBy("_part").orderBy("_place")) - F.col("_first")
+    return found.withColumn("_new", F.col("_place") + F.col("_first") + F.greatest(own, "_top")).drop("_place", "_part", "_first", "_top")
+
+
+def bumped(rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """`rows` with distinct ids: of rows that share one, the first by `order` keeps it and each further one takes the next free number; so does a row
+    whose own number was taken so by one of a smaller id.
+
+    All collisions are settled at once, however long their chains. What would pass the greatest id starts again at 1; more rows than ids raise an error. `order` must tell rows of one id apart.
+    """
+    kind, n = rows.schema[id_col].dataType, rows.count()
+    if n >= ID_MASK:
+        raise ValueError("there are more rows than ids")
+    out = _raised(rows, id_col, order)
+    while not out.where(F.col("_new") > ID_MASK).isEmpty():
+        again = out.withColumn("_late", F.col("_new") > ID_MASK)
+        again = again.withColumn(id_col, F.when(F.col("_late"), F.col("_new") - ID_MASK).otherwise(F.col("_new"))).drop("_new")
+        out = _raised(again, id_col, ["_late", *order]).drop("_late")
+    return out.withColumn(id_col, F.col("_new").cast(kind)).drop("_new")
 
 
 def suggestions(methods: Sequence[DataFrame], k: int = 5) -> DataFrame:

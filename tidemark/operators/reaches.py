@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import shapes
+from tidemark.operators import rays, shapes
 
 #: Degrees of the coarse and the fine sweep and how many best ones are refined, least spacing of scan lines and their part of a mean width.
 SWEEP_STEP, REFINE_TOP, REFINE_REACH, REFINE_STEP = 3.0, 3, 1.5, 0.25
 LEAST_SPACING_M, SPACING_PART = 8.0, 0.5
-#: Offsets of the five rays of a bin, longest fetch, metres stepped over a border between waters, shore that a craft keeps off.
-ARC, FETCH_CAP_M, STEP_OVER_M, SHORE_M = [-12.0, -6.0, 0.0, 6.0, 12.0], 100_000.0, 1.0, 30.48
+#: Offsets of the five rays of a bin, longest fetch, shore that a craft keeps off.
+ARC, FETCH_CAP_M, SHORE_M = [-12.0, -6.0, 0.0, 6.0, 12.0], 100_000.0, 30.48
 #: How far out the middle of a water reaches, points that a sector needs, and how far and wide a name may claim.
 MIDDLE, SECTOR_POINTS = 0.45, 3
 NAME_PART, NAME_LEAST_M, NAME_MOST_M, CHANNEL_MOST_M, WIDTH_FACTOR = 1.25, 250.0, 6000.0, 1000.0, 2.5
@@ -345,52 +345,28 @@ def claimed(points: DataFrame, names: DataFrame, rings: DataFrame, key: str) ->
     return seen.groupBy(key, "pt").agg(F.min_by("name", F.struct("_d", "nid")).alias("name"))
 
 
-def _first_land(xy: np.ndarray, to: np.ndarray, owner: np.ndarray, dry: np.ndarray, at: np.ndarray, bearing: float, cap: float) -> float:
-    """Distance along a bearing to the first crossing after which no ring is entered within a step; the cap where it is further or artificial."""
-    p, q = shapes._turned(xy - at, bearing), shapes._turned(to - at, bearing)
-    cut = np.flatnonzero((p[:, 1] > 0) != (q[:, 1] > 0))
-    t = p[cut, 0] - p[cut, 1] / (q[cut, 1] - p[cut, 1]) * (q[cut, 0] - p[cut, 0])
-    cut, t = cut[t > 0], t[t > 0]
-    if not len(t):
-        return cap
-    # Crossings of one ring, counted from the far end: the odd ones leave it, the even ones enter it.
-    who = owner[cut]
-    far = np.lexsort((-t, who))
-    starts = np.r_[True, who[far][1:] != who[far][:-1]]
-    rank = np.arange(len(far)) - np.maximum.accumulate(np.where(starts, np.arange(len(far)), 0))
-    turn = np.empty(len(t), int)
-    turn[far] = np.where(rank % 2 == 0, -1, 1)
-    order = np.argsort(t, kind="stable")
-    t, turn, cut = t[order], turn[order], cut[order]
-    wet = -turn.sum() + np.cumsum(turn)  # rings that hold the place just after each crossing; none after the last
-    ends = np.flatnonzero((wet <= 0) & (np.r_[t[1:], np.inf] - t > STEP_OVER_M))
-    first = ends[0]
-    return cap if dry[cut[first]] else min(float(t[first]), cap)
-
-
 def mask_fetches(points: DataFrame, polygons: DataFrame, key: str, bins: int = 16, arc: bool = True, cap: float = FETCH_CAP_M, cell: float = 25_000.0, most: int = 20_000) -> DataFrame:
     """(key, fetch): for each point (key, x, y) the mean distance of each bin's rays to the first land over all polygons (pid, ring, artificial).
 
-    A border between waters is no land; a ray that leaves on an artificial edge (array<boolean> beside the ring, null: none) counts as the cap.
+    A border between waters is no land; a ray that leaves on an artificial edge (array<boolean> beside the ring, null: none) counts as the cap. Rings are
+    simple; a further column `holes` (array of rings) takes islands, which are land. A null ring or one of fewer than three corners is no water.
     Points meet in cells, the polygons of a cell are those whose boxes are within the cap of it, so a task holds the waters around one cell and
     about `most` points; a cell with more is dealt over as many groups as that takes. No key may be given twice.
     """
-    bearings = [[b * 360.0 / bins + o for o in (ARC if arc else [0.0])] for b in range(bins)]
+    bearings = np.array([b * 360.0 / bins + o for b in range(bins) for o in (ARC if arc else [0.0])])
+    holed = "holes" in polygons.columns
 
     def run(asked: pd.DataFrame, waters: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return pd.DataFrame({key: [], "fetch": []})
-        rings = [shapes._ring(r) for r in waters["ring"]]
-        if rings:
-            xy, to = np.vstack(rings), np.vstack([np.roll(r, -1, 0) for r in rings])
-            owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
-            dry = np.concatenate([np.zeros(len(r), bool) if a is None else np.asarray(a, bool) for r, a in zip(rings, waters["artificial"], strict=True)])
-        out = []
-        for x, y in zip(asked["x"], asked["y"], strict=True):
-            far = (lambda b: cap) if not rings else lambda b: _first_land(xy, to, owner, dry, np.array([x, y]), b, cap)  # noqa: B023
-            out.append([float(np.mean([far(b) for b in arc_of])) for arc_of in bearings])
-        return pd.DataFrame({key: asked[key], "fetch": out})
-
+        shapes_of = []
+        for ring, flags, holes in zip(waters["ring"], waters["artificial"], waters["holes"] if holed else [None] * len(waters), strict=True):
+            inner = [shapes._ring(h) for h in (holes if holes is not None else []) if len(h) > 2]
+            shapes_of.append(([shapes._ring(ring), *inner], [flags, *[None] * len(inner)]))
+        far = rays.Shores(shapes_of).fetches(asked[["x", "y"]].to_numpy(float), bearings, cap)
+        return pd.DataFrame({key: asked[key], "fetch": list(far.reshape(len(asked), bins, -1).mean(2))})
+
+    polygons = polygons.where(F.size("ring") > 2)
     p = points.select(key, "x", "y", F.floor(F.col("x") / cell).alias("_gx"), F.floor(F.col("y") / cell).alias("_gy"))
     groups = p.groupBy("_gx", "_gy").agg(F.ceil(F.count("*") / most).alias("_n"))
     p = p.join(groups, ["_gx", "_gy"]).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_n"))).drop("_n")

@@ -44,7 +44,7 @@ def area_keys(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.array_join(headers.area_keys(v), "|").alias("keys"))
 
 
-@query("""SELECT o_orderkey, 'R281.' || o_orderkey % 900 || '.' || o_custkey || ',WC-' || o_orderkey % 99 || '-' || o_custkey % 99 || '-' || o_orderkey % 999 AS ids,
+@query("""SELECT o_orderkey, 'R 281.' || o_orderkey % 900 || '.' || o_custkey || ',R 281.' || o_orderkey % 900 || '.' || o_custkey || ',WC-' || o_orderkey % 99 || '-' || o_custkey % 99 || '-' || o_orderkey % 999 AS ids,
   CASE WHEN o_orderkey % 3 = 0 THEN 'Saturdays, Sundays and holidays' WHEN o_orderkey % 3 = 1 THEN 'Sundays' END AS days, 'T' || o_orderkey % 90 || 'S R' || o_custkey % 30 || 'W' AS flipped, split_part('History Publisher''s clause signage', ' ', 1 + CAST(o_orderkey % 4 AS INTEGER)) AS word,
   CASE o_orderkey % 4 WHEN 0 THEN 'history' WHEN 1 THEN 'publisher' WHEN 2 THEN 'clause' ELSE 'signage' END AS kind FROM orders""")
 def rule_text_fields(spark, d):

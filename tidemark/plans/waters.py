@@ -104,5 +104,5 @@ def mask_fetch(spark, d):
     k = F.col("c_custkey")
     points = read(spark, d, "customer").select(k.alias("pt"), (k * 37 % 10000 / 10).alias("x"), (k * 53 % 900000 / 10).alias("y"))
     waters = units(spark, d).select("pid", "ring", F.lit(None).cast("array<boolean>").alias("artificial"))
-    out = reaches.mask_fetches(points, waters, "pt", bins=4, arc=False, cap=400.0, cell=500.0)
+    out = reaches.mask_fetches(points, waters, "pt")
     return out.select("pt", F.array_join(F.transform("fetch", lambda f: F.round(f, 4).cast("string")), ",").alias("fetch"))
