@@ -20,7 +20,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from tidemark.plans import briefs, checks, matches, pages, scalars, services, waters  # noqa: F401
+    from tidemark.plans import areas, briefs, checks, matches, pages, scalars, services, waters  # noqa: F401
 
     return dict(_QUERIES)
 
