@@ -9,6 +9,8 @@ from tidemark.functions import text
 
 #: Scores from which a match is accepted and from which it is worth a review.
 ACCEPT, REVIEW = 0.8, 0.5
+#: Fixed value: the ratio from which spellings count as alike.
+SPELLED = 0.85
 
 
 def scored(records: DataFrame, places: DataFrame, block: str, spelling: bool = False, bonus: float = 0.1) -> DataFrame:
@@ -23,6 +25,50 @@ def scored(records: DataFrame, places: DataFrame, block: str, spelling: bool = F
     return pairs.join(ratios, ["_a", "_b"]).select("rid", "pid", (text.name_score(F.col("_a"), F.col("_b"), F.col("_ratio")) + bonus).alias("score"))
 
 
+def _bigrams(norm: Column) -> Column:
+    """array<string>: the bigrams of a name, repeated ones told apart by a number."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - 1, F.lit(1))), lambda i: F.substr(norm, i, F.lit(2)))
+    return F.transform(each, lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(each, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
+def _rare(names: DataFrame, counts: DataFrame, block: str) -> DataFrame:
+    """(block, n, gram): of each distinct name the rarest bigrams that a name spelled alike must share one of, in the order of their frequency.
+
+    Names whose ratio is SPELLED or more have SPELLED of their letters in common, in runs that are parted by the letters that differ. So they share 0.478 of the
+    shorter one's letters less 1 as bigrams, and one of them is among the others of each.
+    """
+    grams = names.select(block, "n", F.explode(F.array_distinct(_bigrams(F.col("n")))).alias("gram")).join(counts, "gram")
+    order = F.array_sort(F.collect_list(F.struct("often", "gram")))
+    kept = F.greatest(F.length("n") - F.ceil(F.length("n") * 0.478 - 1.0), F.lit(1)).cast("int")
+    return grams.groupBy(block, "n").agg(order.alias("g")).select(block, "n", F.explode(F.slice("g", F.lit(1), kept)).alias("s")).select(block, "n", F.col("s.gram").alias("gram"))
+
+
+def alike(records: DataFrame, places: DataFrame, block: str, spelling: bool = False, bonus: float = 0.1) -> DataFrame:
+    """Of the candidates of `scored` all with a score of REVIEW or more, found by keys instead of pairing whole blocks.
+
+    Such pairs agree in their names, in their names without qualifiers, or in their sets of words, as half the words alone earn less; with `spelling` also those
+    whose spelling is alike, which share one of their rarer bigrams. Distinct names are compared once.
+    """
+    bare, bag = text.strip_qualifiers(F.col("n")), F.array_join(F.array_sort(text.words(F.col("n"))), " ")
+    ours, theirs = (df.where((F.col("norm") != "") & F.col(block).isNotNull()).select(block, F.col("norm").alias("n")).distinct() for df in (records, places))
+    keyed = lambda df, name: df.select(block, F.col("n").alias(name), F.explode(F.array(F.struct(F.lit(1).alias("kind"), bare.alias("key")), F.struct(F.lit(2).alias("kind"), bag.alias("key")))).alias("k"))
+    pairs = keyed(ours, "_a").join(keyed(theirs, "_b"), [block, "k"]).select(block, "_a", "_b")
+    if spelling:
+        both = ours.select("n").unionAll(theirs.select("n"))
+        counts = both.select(F.explode(F.array_distinct(_bigrams(F.col("n")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+        spelled = _rare(ours, counts, block).withColumnRenamed("n", "_a").join(_rare(theirs, counts, block).withColumnRenamed("n", "_b"), [block, "gram"])
+        near = 2 * F.least(F.length("_a"), F.length("_b")) >= SPELLED * (F.length("_a") + F.length("_b"))  # no more letters can be in common
+        pairs = pairs.unionAll(spelled.where(near).select(block, "_a", "_b"))
+    pairs = pairs.distinct()
+    ratio = None
+    if spelling:
+        pairs = pairs.withColumn("_ratio", text.sequence_ratio("_a", "_b"))
+        ratio = F.col("_ratio")
+    pairs = pairs.withColumn("score", text.name_score(F.col("_a"), F.col("_b"), ratio) + bonus).where(F.col("score") >= REVIEW)
+    found = records.select("rid", F.col("norm").alias("_a"), block).join(pairs, [block, "_a"])
+    return found.join(places.select("pid", F.col("norm").alias("_b"), block), [block, "_b"]).select("rid", "pid", "score")
+
+
 def best(candidates: DataFrame) -> DataFrame:
     """(rid, pid, score, state): the best candidate of each record, the smallest pid of equals; `matched`, `review` or `unmatched`.
 

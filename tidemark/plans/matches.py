@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import matching, regions
+from tidemark.operators import linkage, matching, regions
 from tidemark.plans.checks import read
 from tidemark.plans.registry import query
 from tidemark.sinks import records
@@ -158,3 +158,19 @@ u AS (SELECT *, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS url FROM e), s AS
 SELECT page_id, slug, CAST(min(place) AS INTEGER) AS place, arg_min(url, place) AS url, arg_min(trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), place) AS name FROM s WHERE slug <> '' GROUP BY page_id, slug""")
 def page_links(spark, d):
     return files.links(read(spark, d, "pages"), "page_id", "html").select("page_id", "slug", "place", "url", "name")
+
+
+_ALIKE = """WITH p AS (SELECT p_partkey AS id, p_brand, split_part(lower(p_name), ' ', 1) AS a, split_part(lower(p_name), ' ', 2) AS b FROM part), n AS (SELECT id, p_brand, a || ' ' || b AS place,
+  CASE id % 4 WHEN 0 THEN a || ' ' || b WHEN 1 THEN 'north ' || a || ' ' || b WHEN 2 THEN b || ' ' || a ELSE a || ' x' END AS record FROM p),
+w AS (SELECT x.id AS rid, y.id AS pid, x.record AS n, y.place AS m, list_distinct(string_split(x.record, ' ')) AS u, list_distinct(string_split(y.place, ' ')) AS v FROM n x JOIN n y USING (p_brand)),
+c AS (SELECT rid, pid, 0.1::DOUBLE + CASE WHEN n = m THEN 1 WHEN replace(n, 'north ', '') = m THEN 0.6 ELSE 0.4 * len(list_intersect(u, v)) / len(list_distinct(list_concat(u, v))) END AS score FROM w)"""
+
+
+@query(_ALIKE + " SELECT rid, pid, round(score, 6) AS score FROM c WHERE score >= 0.5")
+def linked_by_keys(spark, d):
+    name = F.split(F.lower("p_name"), " ")
+    a, b, k = F.get(name, F.lit(0)), F.get(name, F.lit(1)), F.col("p_partkey")
+    record = F.when(k % 4 == 0, F.concat_ws(" ", a, b)).when(k % 4 == 1, F.concat_ws(" ", F.lit("north"), a, b)).when(k % 4 == 2, F.concat_ws(" ", b, a)).otherwise(F.concat_ws(" ", a, F.lit("x")))
+    part = read(spark, d, "part")
+    records, places = part.select(k.alias("rid"), record.alias("norm"), "p_brand"), part.select(k.alias("pid"), F.concat_ws(" ", a, b).alias("norm"), "p_brand")
+    return linkage.alike(records, places, "p_brand").select("rid", "pid", F.round("score", 6).alias("score"))
