@@ -163,8 +163,9 @@ def plain_collocations(docs, longest, least, percent, first):
     return out
 
 
-@pytest.mark.parametrize(("percent", "first", "block"), [(100, 2000, 1 << 20), (80, 6, 40)])
-def test_collocations(spark, monkeypatch, percent, first, block):
+@pytest.mark.parametrize(("percent", "first", "block", "sent"), [(100, 2000, 1 << 20, 1 << 20), (80, 6, 40, 1 << 20), (100, 2000, 40, -1)])
+def test_collocations(spark, monkeypatch, percent, first, block, sent):
+    monkeypatch.setattr(collocations, "BROADCAST_BYTES", sent)  # -1: the shuffled way
     r = random.Random(9)
     phrases = ["New York City", "à la carte menu", "of the", "a a a a", "Zürich\tsee", "one two three four five six"]
     make = lambda: r.choice([" ", ", ", ". ", "  ", "\n", " \t"]).join(r.choice(phrases) if r.random() < 0.5 else r.choice(TEXT_WORDS) for _ in range(r.randint(0, 40)))
