@@ -8,6 +8,7 @@ from tidemark.functions import schedule
 from tidemark.operators import stations
 from tidemark.plans.checks import read
 from tidemark.plans.registry import query
+from tidemark.streaming import live, stateful
 
 NOW = "2024-01-10 12:00:00"
 TZ, TIMES = "America/Detroit", ["06:00", "12:30", "22:00"]
@@ -99,6 +100,15 @@ def fixes_throttled(spark, d):
     return stations.throttled(e, ["user_id"], "ts", 3600, least_nm=0.2)
 
 
+@query()
+def ttl_stream(spark, d):
+    def make():
+        e = live.stream(spark, f"{d}/events.parquet").select("user_id", "ts", "event_id", (F.col("event_type") != "click").alias("ok"))
+        return stateful.throttled(e, ["user_id"], "ts", 6 * 3600, ok="ok")
+
+    return stateful.settled(make, spark)
+
+
 @query("""WITH h AS (SELECT DISTINCT user_id AS slot, CAST(ts AS DATE) AS target_date, CAST(event_id % 24 AS INTEGER) AS at, date_trunc('day', ts) AS generated_at FROM events), t AS (SELECT DISTINCT user_id AS slot, DATE '2024-01-10' + CAST(user_id % 5 AS INTEGER) AS target_date FROM events),
 n AS (SELECT slot, target_date, CAST(slot % 24 AS INTEGER) AS at, TIMESTAMP '2024-02-01' AS generated_at FROM t)
 SELECT h.* FROM h SEMI JOIN t USING (slot, target_date) ANTI JOIN n ON h.slot = n.slot AND h.at = n.at UNION ALL SELECT * FROM n""")
