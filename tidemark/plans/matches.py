@@ -8,7 +8,8 @@ from tidemark.operators import linkage, matching, regions
 from tidemark.plans.checks import read
 from tidemark.plans.registry import query
 from tidemark.sinks import records
-from tidemark.sources import files
+from tidemark.sources import files, recordfile
+from tidemark.storage import shared_folder
 
 
 @query("""WITH r AS (SELECT c_custkey AS rid, unnest([c_custkey % 97, c_custkey % 89 + 100]) AS k FROM customer), p AS (SELECT s_suppkey AS pid, unnest([s_suppkey % 97, s_suppkey % 89 + 100]) AS k FROM supplier)
@@ -148,6 +149,19 @@ def record_roundtrip(spark, d):
     return out.select("l_orderkey", "l_linenumber", "lon", "lat", "depth_dm", "label", F.get("fetch_m", F.lit(0)).alias("fetch0"), F.get("fetch_m", F.lit(15)).alias("fetch15"), F.get("run_ft", F.lit(7)).alias("run7"))
 
 
+@query("""SELECT l_orderkey AS key, count(*) AS n, CAST(sum(l_partkey % 65536) AS BIGINT) AS depth, round(sum(l_suppkey % 1000), 4)::DOUBLE AS lon FROM lineitem GROUP BY 1""")
+def records_by_key(spark, d):
+    """All line items as record files, and each order's records read from them."""
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    p = read(spark, d, "lineitem").select(
+        "l_orderkey", (F.col("l_suppkey") % 1000).alias("lon"), F.lit(45.0).alias("lat"), (F.col("l_partkey") % 65536).cast("int").alias("depth_dm"), F.col("l_linenumber").cast("int").alias("label"),
+        zeros(16).alias("fetch_m"), zeros(8).alias("run_ft"),
+    )
+    path = shared_folder(spark, "records")
+    recordfile.write_records(records.packed(p, ["l_orderkey"]), "l_orderkey", path)
+    return recordfile.read_records(spark, path).groupBy("key").agg(F.count("*").alias("n"), F.sum("depth_dm").alias("depth"), F.round(F.sum("lon"), 4).alias("lon"))
+
+
 @query("""WITH c AS (SELECT l_orderkey, count(*) AS count FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(sum(count) OVER (ORDER BY l_orderkey) - count AS BIGINT) AS first, count FROM c""")
 def record_offsets(spark, d):
     return records.offsets(read(spark, d, "lineitem").select("l_orderkey"), "l_orderkey")

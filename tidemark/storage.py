@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
     """`df` computed once: a checkpoint in the shared folder of spark.checkpoint.dir, or persisted where that is unset (a lost part is then computed again)."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; in a local session without that setting, in a temporary folder. A cluster must set it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.storage import shared_folder
+
 
 def _root(spark: SparkSession) -> str:
     """The folder that driver and executors share, for checkpoints and sinks."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
