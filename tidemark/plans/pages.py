@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clauses, zones
 from tidemark.plans.checks import read
 from tidemark.plans.registry import query
+from tidemark.sources import nodes
 
 HEADERS = [
     "ALDER{} AND BIRCH LAKES", "BIG AND LITTLE ALDER{} LAKES", "STONE LAKES (TAN, ALDER{}, AND LONG)", "ALDER{} LAKE, NORTH BASIN", "ALDER{} RIVER FROM OAK CREEK TO BLACK LAKE",
@@ -82,3 +83,8 @@ def scoped_entries(spark, d):
     frame = lambda frames, i: F.replace(F.get(F.array(*[F.lit(f) for f in frames]), i.cast("int")), F.lit("{}"), k.cast("string"))
     e = read(spark, d, "part").select(k.alias("id"), frame(ZONED_HEADERS, k % 6).alias("header"), frame(ZONED, F.floor(k / 6) % 5).alias("body"))
     return zones.scoped_records(e, "id", "header", "body").select("id", "ord", "clause", "name", "kind", "scope", "description", "rule_id")
+
+
+@query()
+def content_blocks(spark, d):
+    return nodes.content_blocks(read(spark, d, "pages"), "page_id", "html", whole=True)
