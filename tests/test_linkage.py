@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import linkage
 
-WORDS = ["oak", "torch", "clam", "stony", "north", "big", "saint", "clair", "ab", "long"]
+WORDS = ["oak", "cedar", "heron", "stony", "north", "big", "saint", "clair", "ab", "long"]
 
 
 def names(seed, n):

@@ -37,12 +37,12 @@ def test_zones_by_priority(spark):
 
 def test_connecting_structures(spark):
     texts = {
-        "Channel connecting Intermediate lake to Hanley lake.": "the channel connecting Intermediate Lake to Hanley Lake",
-        "CANALS CONNECTED TO JUNO LAKE": "the canals connected to Juno Lake",
-        "ALL CHANNELS CONNECTING BLACK LAKE AND RAWSON LAKE": "all channels connecting Black Lake and Rawson Lake",
-        "BIG AND LITTLE SCHOOL LOT LAKES AND CONNECTING CHANNEL": None,
-        "CLAM RIVER": None,
-        "CHANNEL BETWEEN SYLVAN AND EMERALD LAKES": None,
+        "Channel connecting Crooked lake to Holloway lake.": "the channel connecting Crooked Lake to Holloway Lake",
+        "CANALS CONNECTED TO WILLOW LAKE": "the canals connected to Willow Lake",
+        "ALL CHANNELS CONNECTING BROWN LAKE AND ROWAN LAKE": "all channels connecting Brown Lake and Rowan Lake",
+        "BIG AND LITTLE STONE HILL LAKES AND CONNECTING CHANNEL": None,
+        "HERON RIVER": None,
+        "CHANNEL BETWEEN SPRUCE AND AMBER LAKES": None,
         "": None,
         None: None,
     }
@@ -51,8 +51,8 @@ def test_connecting_structures(spark):
 
 def test_first_sentences(spark):
     texts = {
-        "Clam river. From Torch lake": "Clam river.",
-        "Channel connecting Ellsworth lake to St. Clair lake. No speed": "Channel connecting Ellsworth lake to St. Clair lake.",
+        "Heron river. From Bristol lake": "Heron river.",
+        "Channel connecting Everton lake to St. Clair lake. No speed": "Channel connecting Everton lake to St. Clair lake.",
         "One; two": "One;",
         "no end": "no end",
         "Mt. No. St.": "Mt. No. St.",
@@ -68,18 +68,18 @@ def test_note_names(spark):
 
 def test_scoped_records(spark):
     entries = [
-        (1, "RIVERS AND CHANNELS - R281.705.1", "It is unlawful to exceed a slow-no wake speed on:\n(a) Clam river from Torch lake to Clam lake.\n(b) Channel connecting Intermediate lake to Hanley lake."),
+        (1, "RIVERS AND CHANNELS - R281.705.1", "It is unlawful to exceed a slow-no wake speed on:\n(a) Heron river from Bristol lake to Heron lake.\n(b) Channel connecting Crooked lake to Holloway lake."),
         (2, "OAK LAKE", "On the waters of Oak lake, it is unlawful to exceed a slow-no wake speed:\n(a) North of the bridge, at any time.\n(b) At any other place."),
         (3, "OAK LAKE, MILLER BAY", "1. It is unlawful to exceed a slow-no wake speed. R 281.1.2"),
-        (4, "CHANNELS", "It is unlawful to exceed a slow-no wake speed on:\n(a) Rivers.\n(b) Clam river."),
+        (4, "CHANNELS", "It is unlawful to exceed a slow-no wake speed on:\n(a) Rivers.\n(b) Heron river."),
         (5, "", "Publisher's Note: the slow-no wake rule of Big Oak Lake was rescinded."),
         (6, None, None),
     ]
     df = spark.createDataFrame(entries, "id int, header string, body string")
     got = {(r.id, r.ord): (r.clause, r["name"], r.kind, r.scope, r.description, r.rule_id) for r in zones.scoped_records(df, "id", "header", "body").collect()}
     assert {k[0] for k in got} >= {1, 2, 3, 4, 5}
-    assert got[1, 0][1] == "Clam river" and got[1, 0][5] == "R 281.705.1"
-    assert got[1, 1][3:5] == ("structure", "the channel connecting Intermediate Lake to Hanley Lake")
+    assert got[1, 0][1] == "Heron river" and got[1, 0][5] == "R 281.705.1"
+    assert got[1, 1][3:5] == ("structure", "the channel connecting Crooked Lake to Holloway Lake")
     assert got[2, 0][3:5] == ("zone", "North of the bridge, at any time") and got[2, 1][3:5] == ("lakewide", None) and got[2, 1][1] == "Oak Lake"
     assert got[3, 0][3:] == ("zone", "Miller Bay", "R 281.1.2")
     assert got[4, 0][1] == got[4, 1][1] == "Channels"  # one clause names only a kind of water, so the header stands

@@ -114,7 +114,7 @@ def _phrase(t: Column) -> Column:
 
 
 def connecting_structure(raw: Column) -> Column:
-    """`the channel connecting Black Lake to Rawson Lake`, where that is all a header or clause names; null where it names a water of its own."""
+    """`the channel connecting Brown Lake to Rowan Lake`, where that is all a header or clause names; null where it names a water of its own."""
     t = headers.title_case(raw)
     head = F.lower(headers.squeezed(F.regexp_extract(t, f"({STRUCTURE_HEAD})", 1)))
     rest = _phrase(F.regexp_replace(F.regexp_replace(t, STRUCTURE_HEAD, ""), EDGES, ""))

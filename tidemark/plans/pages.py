@@ -65,7 +65,7 @@ ZONED = [
     "On the waters of Alder{} lake lying north of the {} bridge, it is unlawful to exceed a slow-no wake speed.",
     "It is unlawful to exceed a slow-no wake speed (north of the mill) on Alder{} lake.",
     "On that part of the lake known as Pike{} bay, no operator shall exceed a slow-no wake speed.\n(a) Upstream from the {} dam.\n(b) At any other place.",
-    "It is unlawful to exceed a slow-no wake speed on:\n(a) Elm{} river from Torch lake to Clam lake.\n(b) Channel connecting Alder{} lake to Hanley lake.",
+    "It is unlawful to exceed a slow-no wake speed on:\n(a) Elm{} river from Bristol lake to Heron lake.\n(b) Channel connecting Alder{} lake to Holloway lake.",
     "Publisher's Note: the slow-no wake rule of Old Alder{} Lake was rescinded.",
 ]
 ZONED_HEADERS = ["ALDER{} LAKE - R281.7.{}", "ALDER{} LAKE, SOUTH ARM", "ALDER{} LAKE", "RIVERS AND CHANNELS - WC-1-2-{}", "", "ALL CHANNELS CONNECTING ALDER{} LAKE AND BIRCH LAKE"]
@@ -74,7 +74,7 @@ ZONED_HEADERS = ["ALDER{} LAKE - R281.7.{}", "ALDER{} LAKE, SOUTH ARM", "ALDER{}
 @query("""WITH p AS (SELECT p_partkey AS id, CAST(p_partkey AS VARCHAR) AS k, p_partkey % 6 AS h, p_partkey // 6 % 5 AS b FROM part), c AS (SELECT *, unnest(CASE WHEN b IN (2, 3) THEN ['(a)', '(b)'] ELSE [NULL] END) AS clause, unnest(CASE WHEN b IN (2, 3) THEN [0, 1] ELSE [0] END) AS ord FROM p),
 n AS (SELECT *, unnest(CASE WHEN h = 3 AND b = 3 THEN CASE ord WHEN 0 THEN ['Elm' || k || ' river'] ELSE ['Alder' || k || ' lake'] END WHEN h = 3 AND b = 2 THEN CASE ord WHEN 0 THEN ['Upstream from the ' || k || ' dam'] ELSE ['At any other place'] END WHEN h = 3 THEN ['Rivers']
   WHEN h = 4 THEN CASE WHEN b = 4 THEN ['Old Alder' || k || ' Lake'] ELSE [] END WHEN h = 5 THEN ['Alder' || k || ' Lake', 'Birch Lake'] ELSE ['Alder' || k || ' Lake'] END) AS name FROM c),
-z AS (SELECT *, CASE WHEN h = 5 THEN 'all channels connecting Alder' || k || ' Lake and Birch Lake' WHEN h = 3 AND b = 3 AND ord = 1 THEN 'the channel connecting Alder' || k || ' Lake to Hanley Lake' END AS structure,
+z AS (SELECT *, CASE WHEN h = 5 THEN 'all channels connecting Alder' || k || ' Lake and Birch Lake' WHEN h = 3 AND b = 3 AND ord = 1 THEN 'the channel connecting Alder' || k || ' Lake to Holloway Lake' END AS structure,
   CASE WHEN b = 0 THEN CASE WHEN length(k) < 3 THEN 'On the waters of Alder' || k || ' lake ' ELSE '' END || 'lying north of the ' || k || ' bridge' WHEN b = 2 AND ord = 0 THEN 'Upstream from the ' || k || ' dam' WHEN b = 2 THEN 'On that part of the lake known as Pike' || k || ' bay' WHEN h = 1 THEN 'South Arm' END AS zone FROM n)
 SELECT id, ord, clause, name, 'slow_no_wake' AS kind, CASE WHEN structure IS NOT NULL THEN 'structure' WHEN zone IS NOT NULL THEN 'zone' ELSE 'lakewide' END AS scope, coalesce(structure, zone) AS description,
   CASE h WHEN 0 THEN 'R 281.7.' || k WHEN 3 THEN 'WC-1-2-' || k END AS rule_id FROM z""")
