@@ -8,6 +8,9 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +223,13 @@ def test_many_languages_are_learned(spark):
     rows = [(i * 2 + j, (letter(i) * 3 + " ") * 6, f"l{i:03}") for i in range(600) for j in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fit(df).langs == sorted({x[2] for x in rows})
+
+
+def test_blocks_are_unpacked_one_at_a_time(spark):
+    rows = spark.range(0, 9, 1, 2).selectExpr("id AS block", "array(id, id + 1) AS ids")
+    files = {f.removeprefix("file://") for f in common.written(rows, "blocks", collocations.GROUP_BLOCKS).inputFiles()}
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) == 9  # a reader holds one block, not all of a file
+    batch = pa.RecordBatch.from_pydict({"block": [1, 2], "word_at": [b"a", b"b"], "ids": [[1, 2], None], "lang": [["en"], []]})
+    states = collocations._states(iter([batch]))
+    one, two = next(states), next(states)
+    assert isinstance(one["ids"], np.ndarray) and one["ids"].tolist() == [1, 2] and one["lang"] == ["en"] and two["ids"] is None and two["block"] == 2

@@ -44,6 +44,8 @@ STATE = "block long, word_at binary, ids array<long>, phrases array<long>, n arr
 CANDIDATES = "block long, number int, key long, n long"
 #: Rows of candidates in an Arrow batch, at most; bytes of a broadcast table of frequent words or phrases, at most.
 ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: Bytes of an Arrow batch of blocks, about, and blocks in a row group of their files: more in one would all be unpacked at once, so that memory grew with a task's blocks.
+BATCH_BYTES, GROUP_BLOCKS = 8 << 20, 1
 
 
 class _Numbers(dict):
@@ -116,6 +118,20 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _state(batch: pa.RecordBatch | pa.Table, row: int) -> dict:
+    """One row, its lists of numbers as arrays: blocks are unpacked one at a time and never as objects, however many a batch holds."""
+    out = {}
+    for name in batch.schema.names:
+        value, kind = batch.column(name)[row], batch.schema.field(name).type
+        numbers = pa.types.is_list(kind) and pa.types.is_int64(kind.value_type)
+        out[name] = value.values.to_numpy() if numbers and value.is_valid else value.as_py()
+    return out
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    return (_state(batch, row) for batch in batches for row in range(batch.num_rows))
+
+
 def _numbered(lengths: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """The inverse of `_lists`: the number of the list at each place."""
     at = np.zeros(size, np.int64)
@@ -146,13 +162,12 @@ def _candidates(length: int, base: int):
     """The phrases of `length` + 1 words that may be frequent, a row for each in each block, with the length of its list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for state in batch.to_pylist():
-                _, _, which, key = _keys(state, length, base)
-                n = np.bincount(which, minlength=len(key))
-                for i in range(0, len(key), ROWS):
-                    k = len(key[i : i + ROWS])
-                    yield pa.RecordBatch.from_pydict({"block": np.full(k, state["block"]), "number": np.arange(i, i + k, dtype=np.int32), "key": key[i : i + k], "n": n[i : i + k]})
+        for state in _states(batches):
+            _, _, which, key = _keys(state, length, base)
+            n = np.bincount(which, minlength=len(key))
+            for i in range(0, len(key), ROWS):
+                k = len(key[i : i + ROWS])
+                yield pa.RecordBatch.from_pydict({"block": np.full(k, state["block"]), "number": np.arange(i, i + k, dtype=np.int32), "key": key[i : i + k], "n": n[i : i + k]})
 
     return run
 
@@ -199,7 +214,7 @@ def _told(length: int, base: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out: list[dict] = []
         if len(block) and len(answers):
-            state, found = block.to_pylist()[0], (answers.column("number").to_numpy(), answers.column("id").to_numpy())
+            state, found = _state(block, 0), (answers.column("number").to_numpy(), answers.column("id").to_numpy())
             out = _with_phrases(state, length, _keys(state, length, base), *found) if length else _with_words(state, *found)
         return pa.Table.from_pylist(out, _state_schema())
 
@@ -210,18 +225,17 @@ def _known(length: int, base: int, sent):
     """The same where all frequent words or phrases have been sent to the workers: no block moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for state in batch.to_pylist():
-                if length:
-                    grown, (keys, ids) = _keys(state, length, base), sent.value
-                    at = np.minimum(np.searchsorted(keys, grown[3]), max(len(keys) - 1, 0))
-                    number = np.flatnonzero(keys[at] == grown[3]) if len(keys) else np.zeros(0, np.int64)
-                    out = _with_phrases(state, length, grown, number, ids[at[number]] if len(keys) else number)
-                else:
-                    hits = [(i, sent.value[pair]) for i, pair in enumerate(zip(state["lang"], state["word"], strict=True)) if pair in sent.value]
-                    out = _with_words(state, *np.array(hits, np.int64).reshape(-1, 2).T)
-                for row in out:
-                    yield pa.RecordBatch.from_pylist([row], _state_schema())
+        for state in _states(batches):
+            if length:
+                grown, (keys, ids) = _keys(state, length, base), sent.value
+                at = np.minimum(np.searchsorted(keys, grown[3]), max(len(keys) - 1, 0))
+                number = np.flatnonzero(keys[at] == grown[3]) if len(keys) else np.zeros(0, np.int64)
+                out = _with_phrases(state, length, grown, number, ids[at[number]] if len(keys) else number)
+            else:
+                hits = [(i, sent.value[pair]) for i, pair in enumerate(zip(state["lang"], state["word"], strict=True)) if pair in sent.value]
+                out = _with_words(state, *np.array(hits, np.int64).reshape(-1, 2).T)
+            for row in out:
+                yield pa.RecordBatch.from_pylist([row], _state_schema())
 
     return run
 
@@ -257,8 +271,10 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
     """((lang, words: array<string>, f) of all phrases of 1 to `longest` words that occur `least` times or more, (lang, n: all words) of each language)."""
     spark = docs.sparkSession
     short_batches(spark)
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     texts = docs.where("text is not null").select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    blocks = written(texts.mapInArrow(_post, WORDS), "postings")
+    blocks = written(texts.mapInArrow(_post, WORDS), "postings", GROUP_BLOCKS)
     candidates = blocks.select("block", F.posexplode(F.arrays_zip("lang", "word", "n")).alias("number", "c")).select("block", "number", "c.*")
     sizes = written(candidates.groupBy("lang").agg(F.sum("n").alias("n")), "lang-sizes")
     phrases, known, words, keys, base = None, None, None, ["lang", "word"], 1
@@ -283,7 +299,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
         else:
             answers = candidates.join(told, keys).select(F.col("block").alias("of"), "number", "id")
             grown = blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_told(length - 1, base), STATE)
-        blocks, old = written(grown, "postings"), blocks
+        blocks, old = written(grown, "postings", GROUP_BLOCKS), blocks
         discard(old)
         keys, candidates = ["key"], blocks.mapInArrow(_candidates(length, base), CANDIDATES)
         del grown, told
