@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ NAME_PART, NAME_LEAST_M, NAME_MOST_M, CHANNEL_MOST_M, WIDTH_FACTOR = 1.25, 250.0
 #: Classes of airspace, the most restrictive first.
 AIRSPACE = ["B", "C", "D", "E", "G"]
 
+SHORE = T.StructType([T.StructField("inside", T.BooleanType()), *[T.StructField(c, T.DoubleType()) for c in "dxy"]])
 REACH = "struct<length: double, x1: double, y1: double, x2: double, y2: double>"
 
 
@@ -135,21 +137,67 @@ def longest_sweep(xy: np.ndarray, spacing: float | None = None) -> tuple[float,
     return best
 
 
+def _chords(xy: np.ndarray, sizes: np.ndarray, corners: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """`longest_chord` of many rings: lengths and ends (rings, 2, 2). In a convex one any two corners see each other, so the longest pair is the answer; rings of a size go together."""
+    starts, lengths, ends = np.cumsum(sizes) - sizes, np.full(len(sizes), np.nan), np.full((len(sizes), 2, 2), np.nan)
+    plain = shapes.convex(xy, sizes) & (sizes < corners)
+    for n in np.unique(sizes[plain]):
+        i, j = np.triu_indices(n, k=1)
+        of = np.flatnonzero(plain & (sizes == n))
+        for some in np.array_split(of, len(of) * len(i) // shapes.CORNERS + 1):
+            p = xy[starts[some][:, None] + np.arange(n)]
+            d = np.hypot(*np.moveaxis(p[:, i] - p[:, j], 2, 0))
+            k, row = d.argmax(1), np.arange(len(some))
+            lengths[some], ends[some, 0], ends[some, 1] = d[row, k], p[row, i[k]], p[row, j[k]]
+    for r in np.flatnonzero(~plain & (sizes > 2)):
+        lengths[r], ends[r, 0], ends[r, 1] = longest_chord(xy[starts[r] : starts[r] + sizes[r]])
+    return lengths, ends
+
+
+def _sweeps(xy: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`longest_sweep` of many rings of three corners or more: lengths and ends, all bearings of all rings at once."""
+    starts, n = np.cumsum(sizes) - sizes, len(sizes)
+    spacing, rows = np.array([spacing_of(xy[s : s + k]) for s, k in zip(starts, sizes, strict=True)]), np.arange(n)
+    tried = lambda of, bearings: shapes.longest_pieces(xy, sizes, np.repeat(of, bearings.shape[1]), bearings.ravel(), np.repeat(spacing[of], bearings.shape[1]))
+    bearings = np.arange(0.0, 180.0, SWEEP_STEP)
+    coarse, coarse_ends = tried(rows, np.tile(bearings, (n, 1)))
+    coarse = coarse.reshape(n, -1)
+    best = coarse.argmax(1)
+    top = bearings[np.argsort(-coarse, axis=1, kind="stable")[:, :REFINE_TOP]]
+    fine, fine_ends = tried(rows, (top[:, :, None] - REFINE_REACH + np.arange(round(2 * REFINE_REACH / REFINE_STEP) + 1) * REFINE_STEP).reshape(n, -1))
+    lengths = np.column_stack([coarse[rows, best], fine.reshape(n, -1)])
+    ends = np.concatenate([coarse_ends.reshape(n, -1, 2, 2)[rows, best][:, None], fine_ends.reshape(n, -1, 2, 2)], 1)
+    best = lengths.argmax(1)
+    lengths, ends = lengths[rows, best], ends[rows, best]
+    plain = shapes.convex(xy, sizes)
+    for r in np.flatnonzero(~plain & (lengths > 0.02)):
+        a, b = ends[r]
+        inset = (b - a) / max(lengths[r], 1e-12) * 0.01
+        if not covered(xy[starts[r] : starts[r] + sizes[r]], a + inset, b - inset):
+            lengths[r] = 0.0
+    ends[lengths <= 0] = 0.0
+    return lengths, ends
+
+
 def reaches(sweep: bool = True):
     """A function of a ring column: struct(length, x1, y1, x2, y2), the longest straight reach; with `sweep` the better of chord and sweep, as for rivers."""
 
-    def one(points) -> tuple | None:
-        if points is None or len(points) < 3:
-            return None
-        xy = shapes._ring(points)
-        best = longest_chord(xy)
-        if sweep:
-            best = max(best, longest_sweep(xy), key=lambda r: r[0])
-        return best[0], *map(float, best[1]), *map(float, best[2])
-
-    @F.pandas_udf(REACH)
-    def run(rings: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(r) or (None,) * 5 for r in rings], columns=["length", "x1", "y1", "x2", "y2"], dtype="float64")
+    @F.arrow_udf(REACH)
+    def run(rings: pa.Array) -> pa.Array:
+        xy, sizes = shapes.flat(rings)
+        water = sizes > 2
+        xy, sizes = xy[np.repeat(water, sizes)], sizes[water]
+        best = np.zeros((len(sizes), 5))
+        if len(sizes):
+            length, ends = _chords(xy, sizes)
+            if sweep:
+                swept, swept_ends = _sweeps(xy, sizes)
+                length, ends = np.where(swept > length, swept, length), np.where((swept > length)[:, None, None], swept_ends, ends)
+            best = np.column_stack([length, ends.reshape(-1, 4)])
+        out = np.full((len(water), 5), np.nan)
+        out[water] = best
+        columns = [pa.array(c, mask=~water) for c in out.T]
+        return pa.StructArray.from_arrays(columns, ["length", "x1", "y1", "x2", "y2"])
 
     return run
 

@@ -7,9 +7,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Corners, and crossings of edges and scan lines, that are worked on at a time, about.
+CORNERS = 1 << 18
+
+
+def held(value: Column, f) -> Column:
+    """f of a value that is computed once, as a lambda's variable, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
 
 def edges(ring: Column) -> Column:
     """array<struct<a, b>>: the sides of a ring, closed."""
@@ -56,6 +65,33 @@ def _ring(points) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in points], float)
 
 
+def flat(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the corners of all rings of an Arrow array, one ring after another; how many each has, a null one none)."""
+    points = rings.flatten()
+    x, y = (points.flatten()[points.type.get_field_index(axis)].to_numpy(zero_copy_only=False).astype(float) for axis in "xy")
+    return np.column_stack([x, y]), rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def following(sizes: np.ndarray) -> np.ndarray:
+    """The place of each corner's next one, rings lying one after another."""
+    out = np.arange(1, int(sizes.sum()) + 1)
+    ends = np.cumsum(sizes)[sizes > 0]
+    out[ends - 1] = ends - sizes[sizes > 0]
+    return out
+
+
+def convex(xy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether each ring turns one way alone, and once around: any segment between two places of it lies inside."""
+    who, after = np.repeat(np.arange(len(sizes)), sizes), following(sizes)
+    d = xy[after] - xy
+    e = d[after]
+    cross, dot = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(1)
+    count = lambda flag: np.bincount(who[flag], minlength=len(sizes))
+    around = np.bincount(who, np.arctan2(cross, dot), len(sizes))
+    fits = ((count(cross < 0) == 0) | (count(cross > 0) == 0)) & (np.abs(np.abs(around) - 2 * np.pi) < 1e-6)
+    return fits & (count(~(d != 0).any(1) | ((cross == 0) & (dot <= 0))) == 0) & (sizes > 2)
+
+
 def _turned(xy: np.ndarray, degrees: float) -> np.ndarray:
     """Rotated so that the compass bearing `degrees` points along x."""
     a = np.radians(90 - degrees)
@@ -86,6 +122,51 @@ def longest_piece(xy: np.ndarray, bearing: float, spacing: float) -> tuple[float
     return float(runs.max()), ends[0], ends[1]
 
 
+def longest_pieces(xy: np.ndarray, sizes: np.ndarray, ring: np.ndarray, bearing: np.ndarray, spacing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`longest_piece` of many rings (as from `flat`): lengths and ends (jobs, 2, 2) of the jobs (a ring's number, a bearing, a spacing), in lots of bounded size."""
+    starts, lengths, ends = np.cumsum(sizes) - sizes, np.zeros(len(ring)), np.zeros((len(ring), 2, 2))
+    lots = np.cumsum(sizes[ring]) // CORNERS
+    for lot in np.split(np.arange(len(ring)), np.flatnonzero(np.diff(lots)) + 1):
+        n = sizes[ring[lot]]
+        who, after = np.repeat(np.arange(len(lot)), n), following(n)
+        begins = np.cumsum(n) - n
+        at = np.arange(len(who)) - begins[who] + starts[ring[lot]][who]
+        a = np.radians(90 - bearing[lot])
+        cos, sin = np.cos(a), np.sin(a)
+        x, y = xy[at, 0] * cos[who] + xy[at, 1] * sin[who], xy[at, 1] * cos[who] - xy[at, 0] * sin[who]
+        step = spacing[lot]
+        first = np.minimum.reduceat(y, begins) + step / 2
+        low, high = np.minimum(y, y[after]), np.maximum(y, y[after])
+        start = np.maximum(np.floor((low - first[who]) / step[who]).astype(np.int64), 0)
+        lines = np.maximum(np.ceil((high - first[who]) / step[who]).astype(np.int64) + 1 - start, 0)
+        shares = np.cumsum(np.bincount(who, lines, len(lot))) // CORNERS
+        for some in np.split(np.arange(len(lot)), np.flatnonzero(np.diff(shares)) + 1):
+            corners = slice(begins[some[0]], begins[some[-1]] + n[some[-1]])
+            edge = np.repeat(np.arange(corners.start, corners.stop), lines[corners])
+            line = np.arange(len(edge)) - np.repeat(np.cumsum(lines[corners]) - lines[corners], lines[corners]) + start[edge]
+            height = first[who[edge]] + line * step[who[edge]]
+            cut = (y[edge] > height) != (y[after[edge]] > height)
+            edge, line, height = edge[cut], line[cut], height[cut]
+            place = x[edge] + (height - y[edge]) / (y[after[edge]] - y[edge]) * (x[after[edge]] - x[edge])
+            order = np.lexsort((place, line, who[edge]))
+            place, height, job = place[order], height[order], who[edge[order]][::2]
+            runs = place[1::2] - place[::2]
+            if not len(runs):
+                continue
+            jobs, began = np.unique(job, return_index=True)
+            longest = np.maximum.reduceat(runs, began)
+            is_longest = np.flatnonzero(runs == np.repeat(longest, np.diff(np.r_[began, len(runs)])))
+            jobs, which = np.unique(job[is_longest], return_index=True)
+            i = 2 * is_longest[which]
+            c, s, some_length = cos[jobs], sin[jobs], runs[i // 2]
+            good = some_length > 0
+            lengths[lot[jobs[good]]] = some_length[good]
+            for end in (0, 1):  # turned back
+                back = np.column_stack([place[i + end] * c - height[i] * s, place[i + end] * s + height[i] * c])
+                ends[lot[jobs[good]], end] = back[good]
+    return lengths, ends
+
+
 def longest_run(xy: np.ndarray, bearing: float, spacing: float) -> float:
     return longest_piece(xy, bearing, spacing)[0]
 
