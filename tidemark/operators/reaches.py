@@ -320,8 +320,8 @@ def most_restrictive(hits: DataFrame) -> DataFrame:
     return kept.groupBy("id").agg(F.min_by("airspace", F.struct("_r", "airspace")).alias("airspace"))
 
 
-def sector(ring: Column, x: Column, y: Column, convergence: float = 0.0) -> Column:
-    """0 in the middle of a ring, else 1 to 8 clockwise from north, by bearing from its centroid with each axis as a part of its half extent."""
+def sector_frame(ring: Column, convergence: float = 0.0) -> Column:
+    """struct(cx, cy, e, n): a ring's centroid and half extents, which its sectors are told by; to be computed once for all points of a ring."""
     cos, sin = float(np.cos(np.radians(convergence))), float(np.sin(np.radians(convergence)))
     first = F.get(ring, F.lit(0))  # sums are taken from a corner, so far coordinates keep their digits
 
@@ -331,11 +331,14 @@ def sector(ring: Column, x: Column, y: Column, convergence: float = 0.0) -> Colu
         return F.struct((s["w"] + w).alias("w"), (s["x"] + (ax + bx) * w).alias("x"), (s["y"] + (ay + by) * w).alias("y"))
 
     sums = F.aggregate(shapes.edges(ring), F.struct(*[F.lit(0.0).alias(c) for c in "wxy"]), add)
-    cx, cy = first["x"] + sums["x"] / F.nullif(3 * sums["w"], F.lit(0.0)), first["y"] + sums["y"] / F.nullif(3 * sums["w"], F.lit(0.0))
-    east = lambda px, py: (px - cx) * cos + (py - cy) * sin
-    north = lambda px, py: (py - cy) * cos - (px - cx) * sin
-    half = lambda axis: F.greatest(F.array_max(F.transform(ring, lambda p: F.abs(axis(p["x"], p["y"])))), F.lit(1.0))
-    e, n = east(x, y) / half(east), north(x, y) / half(north)
+    return shapes.held(shapes.held(sums, middle), frame)
+
+
+def sector_in(frame: Column, x: Column, y: Column, convergence: float = 0.0) -> Column:
+    """The sector of a point, by the frame of its ring."""
+    cos, sin = float(np.cos(np.radians(convergence))), float(np.sin(np.radians(convergence)))
+    e = ((x - frame["cx"]) * cos + (y - frame["cy"]) * sin) / frame["e"]
+    n = ((y - frame["cy"]) * cos - (x - frame["cx"]) * sin) / frame["n"]
     out = F.floor(F.pmod(F.degrees(F.atan2(e, n)), F.lit(360.0)) / 45 + 0.5) % 8 + 1
     return F.when(F.sqrt(e * e + n * n) < MIDDLE, 0).otherwise(out).cast("int")
 
@@ -359,6 +362,14 @@ def merge_sectors(points: DataFrame, key: str, column: str, least: int = SECTOR_
     """`points` with sectors (0 to 8, in `column`) of too few points folded into the fuller of their neighbours or the middle, the smallest first.
 
     Only the nine counts of a key meet in one row; points are never gathered.
+    def middle(sums: Column) -> Column:
+        cx, cy = first["x"] + sums["x"] / F.nullif(3 * sums["w"], F.lit(0.0)), first["y"] + sums["y"] / F.nullif(3 * sums["w"], F.lit(0.0))
+        return F.struct(cx.alias("cx"), cy.alias("cy"))
+
+    def frame(c: Column) -> Column:
+        half = lambda axis: F.greatest(F.array_max(F.transform(ring, lambda p: F.abs(axis(p["x"] - c["cx"], p["y"] - c["cy"])))), F.lit(1.0))
+        return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), half(lambda x, y: x * cos + y * sin).alias("e"), half(lambda x, y: y * cos - x * sin).alias("n"))
+
     """
 
     @F.pandas_udf("array<int>")
@@ -369,6 +380,11 @@ def merge_sectors(points: DataFrame, key: str, column: str, least: int = SECTOR_
     targets = counts.select(key, mapped("_c").alias("_t"))
     return points.join(targets, key).withColumn(column, F.get("_t", F.col(column))).drop("_t")
 
+def sector(ring: Column, x: Column, y: Column, convergence: float = 0.0) -> Column:
+    """0 in the middle of a ring, else 1 to 8 clockwise from north, by bearing from its centroid with each axis as a part of its half extent."""
+    return shapes.held(sector_frame(ring, convergence), lambda f: sector_in(f, x, y, convergence))
+
+
 
 @F.pandas_udf(T.BooleanType())
 def _sees(ring: pd.Series, x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
