@@ -227,21 +227,50 @@ def nearest_on(ring: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(shapes.edges(ring), near))
 
 
+@F.arrow_udf(SHORE)
+def shore(rings: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+    """Whether a ring holds a point, and the place of it that is nearest to the point, with its distance: `contains` and `nearest_on` for all rows at once."""
+    xy, sizes = shapes.flat(rings)
+    who, b = np.repeat(np.arange(len(sizes)), sizes), xy[shapes.following(sizes)]
+    asked = xs.is_valid().to_numpy(zero_copy_only=False) & ys.is_valid().to_numpy(zero_copy_only=False)
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float)[who] for c in (xs, ys))
+    e = b - xy
+    spans = (xy[:, 1] > y) != (b[:, 1] > y)
+    crossed = spans & (x < xy[:, 0] + (y - xy[:, 1]) / np.where(spans, e[:, 1], 1.0) * e[:, 0])
+    inside = np.bincount(who[crossed], minlength=len(sizes)) % 2 == 1
+    span = e[:, 0] * e[:, 0] + e[:, 1] * e[:, 1]
+    t = np.where(span > 0, np.clip(((x - xy[:, 0]) * e[:, 0] + (y - xy[:, 1]) * e[:, 1]) / np.where(span > 0, span, 1.0), 0.0, 1.0), 0.0)
+    px, py = xy[:, 0] + t * e[:, 0], xy[:, 1] + t * e[:, 1]
+    d = np.sqrt((px - x) * (px - x) + (py - y) * (py - y))
+    order = np.lexsort((py, px, d, who))
+    first = order[(np.cumsum(sizes) - sizes)[sizes > 0]]
+    out = np.zeros((3, len(sizes)))
+    out[:, sizes > 0] = d[first], px[first], py[first]
+    missing = ~asked | (sizes == 0)
+    known = rings.is_valid().to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([pa.array(inside, mask=~known), *[pa.array(c, mask=missing) for c in out]], ["inside", "d", "x", "y"])
+
+
+def _shore(ring: Column, x: Column, y: Column) -> Column:
+    return shore(ring, x.cast("double"), y.cast("double"))
+
+
 def snapped(ring: Column, x: Column, y: Column) -> Column:
     """struct(x, y): a point inside a ring as it is, another at the nearest place of the ring."""
-    near = nearest_on(ring, x, y)
-    return F.when(shapes.contains(ring, x, y), F.struct(x.alias("x"), y.alias("y"))).otherwise(F.struct(near["x"].alias("x"), near["y"].alias("y")))
+    near = _shore(ring, x, y)
+    return F.when(near["inside"], F.struct(x.alias("x"), y.alias("y"))).otherwise(F.struct(near["x"].alias("x"), near["y"].alias("y")))
 
 
 def reach_of(ring: Column, x: Column, y: Column, buffer: float) -> Column:
     """struct(inside, near): whether a ring holds a point, and whether it is within `buffer` of it."""
-    inside = shapes.contains(ring, x, y)
-    return F.struct(inside.alias("inside"), (inside | (nearest_on(ring, x, y)["d"] <= buffer)).alias("near"))
+    near = _shore(ring, x, y)
+    return F.struct(near["inside"].alias("inside"), (near["inside"] | (near["d"] <= buffer)).alias("near"))
 
 
 def usable(ring: Column, x: Column, y: Column, shore: float = SHORE_M) -> Column:
     """Whether a point is inside a ring and keeps off its shore: what a negative buffer would hold."""
-    return shapes.contains(ring, x, y) & (nearest_on(ring, x, y)["d"] >= shore)
+    near = _shore(ring, x, y)
+    return near["inside"] & (near["d"] >= shore)
 
 
 def overlap_area(xy: np.ndarray, other: np.ndarray) -> float:
@@ -330,6 +359,14 @@ def sector_frame(ring: Column, convergence: float = 0.0) -> Column:
         w = ax * by - bx * ay
         return F.struct((s["w"] + w).alias("w"), (s["x"] + (ax + bx) * w).alias("x"), (s["y"] + (ay + by) * w).alias("y"))
 
+    def middle(sums: Column) -> Column:
+        cx, cy = first["x"] + sums["x"] / F.nullif(3 * sums["w"], F.lit(0.0)), first["y"] + sums["y"] / F.nullif(3 * sums["w"], F.lit(0.0))
+        return F.struct(cx.alias("cx"), cy.alias("cy"))
+
+    def frame(c: Column) -> Column:
+        half = lambda axis: F.greatest(F.array_max(F.transform(ring, lambda p: F.abs(axis(p["x"] - c["cx"], p["y"] - c["cy"])))), F.lit(1.0))
+        return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), half(lambda x, y: x * cos + y * sin).alias("e"), half(lambda x, y: y * cos - x * sin).alias("n"))
+
     sums = F.aggregate(shapes.edges(ring), F.struct(*[F.lit(0.0).alias(c) for c in "wxy"]), add)
     return shapes.held(shapes.held(sums, middle), frame)
 
@@ -343,6 +380,11 @@ def sector_in(frame: Column, x: Column, y: Column, convergence: float = 0.0) ->
     return F.when(F.sqrt(e * e + n * n) < MIDDLE, 0).otherwise(out).cast("int")
 
 
+def sector(ring: Column, x: Column, y: Column, convergence: float = 0.0) -> Column:
+    """0 in the middle of a ring, else 1 to 8 clockwise from north, by bearing from its centroid with each axis as a part of its half extent."""
+    return shapes.held(sector_frame(ring, convergence), lambda f: sector_in(f, x, y, convergence))
+
+
 def _merged_sectors(counts: np.ndarray, least: int) -> list[int]:
     counts, now = counts.copy(), np.arange(9)
     for _ in range(16):
@@ -362,14 +404,6 @@ def merge_sectors(points: DataFrame, key: str, column: str, least: int = SECTOR_
     """`points` with sectors (0 to 8, in `column`) of too few points folded into the fuller of their neighbours or the middle, the smallest first.
 
     Only the nine counts of a key meet in one row; points are never gathered.
-    def middle(sums: Column) -> Column:
-        cx, cy = first["x"] + sums["x"] / F.nullif(3 * sums["w"], F.lit(0.0)), first["y"] + sums["y"] / F.nullif(3 * sums["w"], F.lit(0.0))
-        return F.struct(cx.alias("cx"), cy.alias("cy"))
-
-    def frame(c: Column) -> Column:
-        half = lambda axis: F.greatest(F.array_max(F.transform(ring, lambda p: F.abs(axis(p["x"] - c["cx"], p["y"] - c["cy"])))), F.lit(1.0))
-        return F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), half(lambda x, y: x * cos + y * sin).alias("e"), half(lambda x, y: y * cos - x * sin).alias("n"))
-
     """
 
     @F.pandas_udf("array<int>")
@@ -380,11 +414,6 @@ def merge_sectors(points: DataFrame, key: str, column: str, least: int = SECTOR_
     targets = counts.select(key, mapped("_c").alias("_t"))
     return points.join(targets, key).withColumn(column, F.get("_t", F.col(column))).drop("_t")
 
-def sector(ring: Column, x: Column, y: Column, convergence: float = 0.0) -> Column:
-    """0 in the middle of a ring, else 1 to 8 clockwise from north, by bearing from its centroid with each axis as a part of its half extent."""
-    return shapes.held(sector_frame(ring, convergence), lambda f: sector_in(f, x, y, convergence))
-
-
 
 @F.pandas_udf(T.BooleanType())
 def _sees(ring: pd.Series, x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
