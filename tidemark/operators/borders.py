@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,37 +89,48 @@ def straight(xy: np.ndarray, offset: float = OFFSET_M, least: float = RUN_M, str
     if gone[-1] < least:
         return out
     tried = np.unique(np.maximum(np.searchsorted(gone, np.arange(0.0, gone[-1] - least + 1e-9, stride), side="right") - 1, 0))
-    reached = 0
-    for i in tried:
+    reached, corners, lengths = 0, p.tolist(), gone.tolist()
+    for i in tried.tolist():
         if i < reached:
             continue
-        j = int(np.searchsorted(gone, gone[i] + least, side="left"))
+        j = bisect.bisect_left(lengths, lengths[i] + least)
         if j > n:
             break
-        d = p[i + 1 :] - p[i]
-        far = np.hypot(*d.T)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            fan = np.where(far > offset, np.arcsin(np.minimum(offset / far, 1.0)), np.inf)
-        first = d[j - i - 1]
-        # Directions of lines, from the first chord's: both ways along a line are the same.
-        turn = (np.arctan2(d[:, 1], d[:, 0]) - np.arctan2(first[1], first[0]) + np.pi / 2) % np.pi - np.pi / 2
-        low, high = np.maximum.accumulate(np.r_[-np.inf, turn - fan])[:-1], np.minimum.accumulate(np.r_[np.inf, turn + fan])[:-1]
-        held = (turn >= low - 1e-12) & (turn <= high + 1e-12) & (far > 0)
-        k = j - i - 1
-        if not held[k]:
-            continue
-        stop = np.flatnonzero(~held[k:])
-        reached = i + k + (int(stop[0]) if len(stop) else len(held) - k)
-        out[i:reached] = True
+        end = _run(corners, i, j, offset)
+        if end:
+            reached = end
+            out[i:reached] = True
     return out
 
 
+def _run(p: list, i: int, j: int, offset: float) -> int:
+    """The corner at which the run from corner i, which takes in corner j at least, ends; 0 if there is none. It looks no further than the run, or than a chord is possible."""
+    x, y = p[i]
+    # Directions of lines, from the first chord's: both ways along a line are the same.
+    zero, low, high = math.atan2(p[j][1] - y, p[j][0] - x), -math.inf, math.inf
+    for m in range(i + 1, len(p)):
+        dx, dy = p[m][0] - x, p[m][1] - y
+        far = math.hypot(dx, dy)
+        turn = (math.atan2(dy, dx) - zero + math.pi / 2) % math.pi - math.pi / 2
+        if m >= j and not (far > 0 and low - 1e-12 <= turn <= high + 1e-12):
+            return m - 1 if m > j else 0
+        fan = math.asin(min(offset / far, 1.0)) if far > offset else math.inf
+        low, high = max(low, turn - fan), min(high, turn + fan)
+        if m < j and low > high + 1e-11:
+            return 0
+    return len(p) - 1
+
+
 def straight_edges(offset: float = OFFSET_M, least: float = RUN_M, stride: float = STRIDE_M):
     """A function of a ring column: array<boolean> beside it, true for the sides on long straight runs, which are clip lines and breakwaters; as `artificial` of `mask_fetches`."""
 
-    @F.pandas_udf(T.ArrayType(T.BooleanType()))
-    def run(rings: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else straight(shapes._ring(r), offset, least, stride).tolist() for r in rings])
+    @F.arrow_udf(T.ArrayType(T.BooleanType()))
+    def run(rings: pa.Array) -> pa.Array:
+        xy, sizes = shapes.flat(rings)
+        ends = np.cumsum(sizes)
+        flags = [straight(xy[end - n : end], offset, least, stride) for end, n in zip(ends, sizes, strict=True)]
+        offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[~rings.is_valid().to_numpy(zero_copy_only=False), False])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, bool), *flags])))
 
     return run
 

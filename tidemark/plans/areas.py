@@ -11,6 +11,7 @@ from tidemark.operators import borders, overlay, reaches
 from tidemark.plans.checks import read
 from tidemark.plans.registry import query
 from tidemark.plans.waters import _ring
+from tidemark.storage import spread
 
 _A = "(SELECT p_partkey AS id, CAST(p_partkey * 37 % 100 * 2 AS DOUBLE) AS x, CAST(p_partkey * 5 AS DOUBLE) AS y, 5.0::DOUBLE + p_partkey % 12 AS w, 4.0::DOUBLE + p_partkey % 9 AS h FROM part)"
 _B = "(SELECT s_suppkey AS pid, CAST(s_suppkey * 3 % 100 * 2 AS DOUBLE) AS x, CAST(s_suppkey * 100 AS DOUBLE) AS y, 30.0::DOUBLE + s_suppkey % 20 AS w, 25.0::DOUBLE + s_suppkey % 30 AS h FROM supplier)"
@@ -63,7 +64,7 @@ def straight_sides(spark, d):
     k = F.col("p_partkey")
     corners = _ring(k * 3 % 1000, k * 7 % 1000, 500 * (1 + k % 10), 250 * (1 + k % 12))
     fifth = lambda a, b, i: F.struct((a["x"] + (b["x"] - a["x"]) * i / 5).alias("x"), (a["y"] + (b["y"] - a["y"]) * i / 5).alias("y"))
-    rows = read(spark, d, "part").select(k.alias("pid"), corners.alias("c"))
+    rows = spread(read(spark, d, "part").select("p_partkey")).select(k.alias("pid"), corners.alias("c"))
     fine = F.array(*[fifth(F.get("c", F.lit(i)), F.get("c", F.lit((i + 1) % 4)), j) for i in range(4) for j in range(5)])
     flags = rows.select("pid", borders.straight_edges()(fine).alias("flags"))
     return flags.select("pid", F.aggregate("flags", F.lit(0), lambda n, f: n + f.cast("int")).alias("sides"))
