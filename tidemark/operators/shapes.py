@@ -41,15 +41,24 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
+def once(polygons: DataFrame, key: str, *also: str) -> DataFrame:
+    """`polygons` with each ring (and what else is given with it) once, under its smallest key: what follows from rings alone grows with the different ones."""
+    return polygons.groupBy("ring", *also).agg(F.min(key).alias(key)).select(key, "ring", *also)
+
+
 def containing(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """(id, pid): each point of `points` (id, x, y) with the smallest pid of the polygons (pid, ring) that hold it.
 
-    Polygons are posted under the grid cells of their boxes, so a point meets only polygons nearby.
+    Polygons are posted under the grid cells of their boxes, so a point meets only polygons nearby. Points at one place ask once, and of equal rings the first counts.
     """
-    at = lambda f, axis: F.floor(f(F.transform("ring", lambda p: p[axis])) / cell)
-    posted = polygons.withColumn("gx", F.explode(F.sequence(at(F.array_min, "x"), at(F.array_max, "x")))).withColumn("gy", F.explode(F.sequence(at(F.array_min, "y"), at(F.array_max, "y"))))
-    asks = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
-    return asks.join(posted, ["gx", "gy"]).where(contains(F.col("ring"), F.col("x"), F.col("y"))).groupBy("id").agg(F.min("pid").alias("pid"))
+    polygons, places = once(polygons, "pid"), points.select("x", "y").distinct()
+    side = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
+    boxed = polygons.withColumns({"_w": side(F.array_min, "x"), "_e": side(F.array_max, "x"), "_s": side(F.array_min, "y"), "_n": side(F.array_max, "y")})
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+    posted, in_box = boxed.withColumn("gx", cells("_w", "_e")).withColumn("gy", cells("_s", "_n")), F.col("x").between(F.col("_w"), F.col("_e")) & F.col("y").between(F.col("_s"), F.col("_n"))
+    asks = places.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    found = asks.join(posted, ["gx", "gy"]).where(in_box).where(contains(F.col("ring"), F.col("x"), F.col("y"))).groupBy("x", "y").agg(F.min("pid").alias("pid"))
+    return points.join(found, ["x", "y"]).groupBy("id").agg(F.min("pid").alias("pid"))
 
 
 def sampled(polygons: DataFrame, spacing: float) -> DataFrame:
