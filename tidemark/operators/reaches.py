@@ -313,10 +313,12 @@ def _posted(polygons: DataFrame, key: str, cell: float) -> DataFrame:
 
 
 def overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
-    """(id, pid, area): the polygons (id, ring) and (pid, ring) that have an area in common. Boxes meet by cells as ids; rings are fetched once a pair."""
-    pairs = _posted(left, "id", cell).join(_posted(right, "pid", cell), ["gx", "gy"]).select("id", "pid").distinct()
-    rings = pairs.join(left.select("id", F.col("ring").alias("_a")), "id").join(right.select("pid", F.col("ring").alias("_b")), "pid")
-    return rings.select("id", "pid", _overlap("_a", "_b").alias("area")).where("area > 0")
+    """(id, pid, area): the polygons (id, ring) and (pid, ring) that have an area in common. Boxes meet by cells as ids; rings are fetched once a pair, and equal rings are compared once."""
+    a, b = shapes.once(left, "id"), shapes.once(right, "pid")
+    pairs = _posted(a, "id", cell).join(_posted(b, "pid", cell), ["gx", "gy"]).select("id", "pid").distinct()
+    rings = pairs.join(a.select("id", F.col("ring").alias("_a")), "id").join(b.select("pid", F.col("ring").alias("_b")), "pid")
+    found = rings.select("_a", "_b", _overlap("_a", "_b").alias("area")).where("area > 0")
+    return found.join(left.select("id", F.col("ring").alias("_a")), "_a").join(right.select("pid", F.col("ring").alias("_b")), "_b").select("id", "pid", "area")
 
 
 def touching(found: DataFrame) -> DataFrame:
