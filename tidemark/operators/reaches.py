@@ -446,7 +446,8 @@ def mask_fetches(points: DataFrame, polygons: DataFrame, key: str, bins: int = 1
     A border between waters is no land; a ray that leaves on an artificial edge (array<boolean> beside the ring, null: none) counts as the cap. Rings are
     simple; a further column `holes` (array of rings) takes islands, which are land. A null ring or one of fewer than three corners is no water.
     Points meet in cells, the polygons of a cell are those whose boxes are within the cap of it, so a task holds the waters around one cell and
-    about `most` points; a cell with more is dealt over as many groups as that takes. No key may be given twice.
+    about `most` points; a cell with more is dealt over as many groups as that takes. No key may be given twice. Points at one place cast their rays
+    once, and of equal polygons one takes part.
     """
     bearings = np.array([b * 360.0 / bins + o for b in range(bins) for o in (ARC if arc else [0.0])])
     holed = "holes" in polygons.columns
@@ -461,7 +462,8 @@ def mask_fetches(points: DataFrame, polygons: DataFrame, key: str, bins: int = 1
         far = rays.Shores(shapes_of).fetches(asked[["x", "y"]].to_numpy(float), bearings, cap)
         return pd.DataFrame({key: asked[key], "fetch": list(far.reshape(len(asked), bins, -1).mean(2))})
 
-    polygons = polygons.where(F.size("ring") > 2)
+    polygons = shapes.once(polygons.where(F.size("ring") > 2), "pid", "artificial", *(["holes"] if holed else []))
+    every, points = points.select(key, "x", "y"), points.groupBy("x", "y").agg(F.min(key).alias(key))
     p = points.select(key, "x", "y", F.floor(F.col("x") / cell).alias("_gx"), F.floor(F.col("y") / cell).alias("_gy"))
     groups = p.groupBy("_gx", "_gy").agg(F.ceil(F.count("*") / most).alias("_n"))
     p = p.join(groups, ["_gx", "_gy"]).withColumn("_salt", F.pmod(F.xxhash64(key), F.col("_n"))).drop("_n")
@@ -472,7 +474,10 @@ def mask_fetches(points: DataFrame, polygons: DataFrame, key: str, bins: int = 1
     posted = polygons.select("pid", "ring", span("x").alias("_gx")).select("pid", "_gx", span("y").alias("_gy")).join(cells, ["_gx", "_gy"])
     around = posted.join(polygons, "pid")
     kind = dict(points.dtypes)[key]
-    return p.groupBy("_gx", "_gy", "_salt").cogroup(around.groupBy("_gx", "_gy", "_salt")).applyInPandas(run, f"{key} {kind}, fetch array<double>")
+    found = p.groupBy("_gx", "_gy", "_salt").cogroup(around.groupBy("_gx", "_gy", "_salt")).applyInPandas(run, f"{key} {kind}, fetch array<double>")
+    first = points.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(key).alias("_first"))
+    members = every.join(first, F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y"))).select(key, "_first")
+    return members.join(found.withColumnRenamed(key, "_first"), "_first").select(key, "fetch")
 
 
 def label_ids(points: DataFrame, key: str, label: str) -> DataFrame:
