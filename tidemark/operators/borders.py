@@ -55,7 +55,8 @@ def shared_edges(edges: DataFrame, cell: float = 1_000.0, tolerance: float = 0.0
     keys = ["_gx", "_gy", "_b", "_d"]
     mine = _posted(edges, cell, 2.0, tolerance, True)
     others = _posted(edges, cell, 2.0, tolerance, False).select(*keys, F.col("pid").alias("other"), F.col("ring_no").alias("_r"), F.col("edge_no").alias("_e"), *[F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = mine.join(others, keys).where(F.col("pid") != F.col("other"))
+    # Spark takes posted edges for as small as the file they come from and would send all of them to the driver.
+    pairs = mine.hint("merge").join(others.hint("merge"), keys).where(F.col("pid") != F.col("other"))
     ux, uy = (F.col("x2") - F.col("x1")) / F.col("length"), (F.col("y2") - F.col("y1")) / F.col("length")
     off = lambda n: F.abs((F.col(f"_x{n}") - F.col("x1")) * uy - (F.col(f"_y{n}") - F.col("y1")) * ux)
     along = lambda n: (F.col(f"_x{n}") - F.col("x1")) * ux + (F.col(f"_y{n}") - F.col("y1")) * uy
