@@ -84,3 +84,8 @@ def test_scoped_records(spark):
     assert got[3, 0][3:] == ("zone", "Miller Bay", "R 281.1.2")
     assert got[4, 0][1] == got[4, 1][1] == "Channels"  # one clause names only a kind of water, so the header stands
     assert got[5, 0][1] == "Big Oak Lake"
+
+
+def test_long_rule_numbers_stay_whole(spark):
+    e = spark.createDataFrame([(1, "RIVERS AND CHANNELS - WC-1-2-10185", "It is unlawful to exceed a slow-no wake speed.")], "id int, h string, b string")
+    assert [r["rule_id"] for r in zones.scoped_records(e, "id", "h", "b").collect()] == ["WC-1-2-10185"]
