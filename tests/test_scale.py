@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import borders, matching, places, reaches, shapes
-from tidemark.plans import checks, waters
+from tidemark.operators import borders, linkage, matching, overlay, places, reaches, shapes
+from tidemark.plans import areas, checks, pages, waters
 
 
 def rings():
@@ -138,3 +138,37 @@ def test_posted_edges_are_not_sent_to_the_driver(spark):
 def test_names_are_searched_after_their_grouping(spark):
     plan = checks.tiered_search(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lower" in plan and "lower" not in plan[plan.rindex("Aggregate [") :]
+
+
+def test_overlays_of_one_arrangement(spark, monkeypatch):
+    ring = lambda x, w: [[{"x": a, "y": b} for a, b in ((x, x), (x + w, x), (x + w, x + w), (x, x + w))]]
+    calls = []
+    real = overlay._cut
+    monkeypatch.setattr(overlay, "_cut", lambda e: calls.append(1) or real(e))
+    got = overlay.measured().func(pa.array([[ring(2.0, 3.0)], None], overlay.ARROW), pa.array([[ring(0.0, 10.0)], [ring(4.0, 2.0)]], overlay.ARROW)).to_pylist()
+    assert got[0] == {"union": 100.0, "intersection": 9.0, "difference": 0.0, "symmetric_difference": 91.0, "rest": 91.0, "holes": 1} and len(calls) == 2
+    assert got[1]["rest"] == got[1]["union"] == 4.0 and got[1]["holes"] == 0
+    plan = areas.polygon_overlay(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("holes") and plan.count("run(") <= 8
+
+
+def test_single_candidates_without_sets(spark):
+    c = spark.createDataFrame([(1, 4), (1, 4), (2, 4), (2, 6), (3, 5), (4, 8), (5, None), (5, 2)], "rid int, pid int")
+    found = matching.only_candidates(c, c.where("rid = 4"), F.col("pid") % 2 == 0)
+    assert sorted(map(tuple, found.collect())) == [(1, 4), (1, 4), (5, 2)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "distinct" not in plan
+
+
+def test_links_between_classes_give_all_pairs(spark):
+    rows = lambda key, m: spark.createDataFrame([(i, ["round lake", "lake round", "north round lake", "elk pond"][i % m], "ab"[i % 2]) for i in range(40)] + [(99, "round lake", None)], f"{key} long, norm string, area string")
+    records, places_ = rows("rid", 4), rows("pid", 3)
+    got = linkage.alike_classes(records, places_, "area").collect()
+    of = {part: {r["id"]: r["other"] for r in got if r["part"] == part} for part in ("record", "place")}
+    links = {(r["id"], r["other"]): r["score"] for r in got if r["part"] == "link"}
+    pairs = {(r, p): links[a, b] for r, a in of["record"].items() for p, b in of["place"].items() if (a, b) in links}
+    assert pairs == {(r["rid"], r["pid"]): r["score"] for r in linkage.alike(records, places_, "area").collect()} and len(links) < 20 < len(pairs)
+
+
+def test_entries_are_dealt_over_all_cores(spark):
+    assert pages._framed(spark, "/root/testdata/sf0.001", pages.BODIES).rdd.getNumPartitions() >= 4
