@@ -25,13 +25,11 @@ def polygon_overlay(spark, d):
     a = read(spark, d, "part").select(k.alias("id"), _ring(k * 37 % 100 * 2, k * 5, 5 + k % 12, 4 + k % 9).alias("ring"))
     b = read(spark, d, "supplier").select(s.alias("pid"), _ring(s * 3 % 100 * 2, s * 100, 30 + s % 20, 25 + s % 30).alias("ring"))
     pairs = reaches.overlaps(a, b, 100.0).select("id", "pid").join(a.select("id", F.col("ring").alias("r1")), "id").join(b.select("pid", F.col("ring").alias("r2")), "pid")
-    one, two = overlay.polygon(F.col("r1")), overlay.polygon(F.col("r2"))
-    area = lambda kind, x, y: F.round(overlay.area(overlay.overlaid(kind)(x, y)), 4)
-    rest = overlay.overlaid("difference")(two, one)
-    holes = F.aggregate(rest, F.lit(0), lambda n, rings: n + F.size(rings) - 1)
-    return pairs.select(
-        "id", "pid", area("union", one, two).alias("united"), area("intersection", one, two).alias("shared"), area("difference", one, two).alias("ours"),
-        F.round(overlay.area(rest), 4).alias("theirs"), area("symmetric_difference", one, two).alias("either"), holes.alias("holes"),
+    found = spread(pairs).select("id", "pid", overlay.measured()(overlay.polygon(F.col("r1")), overlay.polygon(F.col("r2"))).alias("m"))
+    area = lambda kind: F.round(F.col(f"m.{kind}"), 4)
+    return found.select(
+        "id", "pid", area("union").alias("united"), area("intersection").alias("shared"), area("difference").alias("ours"), area("rest").alias("theirs"),
+        area("symmetric_difference").alias("either"), F.col("m.holes").alias("holes"),
     )
 
 
