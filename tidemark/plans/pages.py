@@ -8,6 +8,7 @@ from tidemark.operators import clauses, zones
 from tidemark.plans.checks import read
 from tidemark.plans.registry import query
 from tidemark.sources import nodes
+from tidemark.storage import spread
 
 HEADERS = [
     "ALDER{} AND BIRCH LAKES", "BIG AND LITTLE ALDER{} LAKES", "STONE LAKES (TAN, ALDER{}, AND LONG)", "ALDER{} LAKE, NORTH BASIN", "ALDER{} RIVER FROM OAK CREEK TO BLACK LAKE",
@@ -24,7 +25,7 @@ BODIES = [
 def _framed(spark, d, frames):
     k = F.col("p_partkey")
     frame = F.get(F.array(*[F.lit(f) for f in frames]), (k % len(frames)).cast("int"))
-    return read(spark, d, "part").select(k.alias("id"), F.replace(frame, F.lit("{}"), k.cast("string")).alias("t"))
+    return spread(read(spark, d, "part").select("p_partkey")).select(k.alias("id"), F.replace(frame, F.lit("{}"), k.cast("string")).alias("t"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, 'Alder' || p_partkey AS a FROM part)
@@ -81,7 +82,7 @@ SELECT id, ord, clause, name, 'slow_no_wake' AS kind, CASE WHEN structure IS NOT
 def scoped_entries(spark, d):
     k = F.col("p_partkey")
     frame = lambda frames, i: F.replace(F.get(F.array(*[F.lit(f) for f in frames]), i.cast("int")), F.lit("{}"), k.cast("string"))
-    e = read(spark, d, "part").select(k.alias("id"), frame(ZONED_HEADERS, k % 6).alias("header"), frame(ZONED, F.floor(k / 6) % 5).alias("body"))
+    e = spread(read(spark, d, "part").select("p_partkey")).select(k.alias("id"), frame(ZONED_HEADERS, k % 6).alias("header"), frame(ZONED, F.floor(k / 6) % 5).alias("body"))
     return zones.scoped_records(e, "id", "header", "body").select("id", "ord", "clause", "name", "kind", "scope", "description", "rule_id")
 
 
