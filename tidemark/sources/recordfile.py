@@ -26,8 +26,10 @@ NAME = "tidemark_records"
 LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
 INDEX = np.dtype([("key", "<i8"), ("first", "<i8"), ("count", "<i4")])
 SCHEMA = "key long, n int, lon double, lat double, depth_dm int, label int, fetch_m array<double>, run_ft array<double>"
-#: Records that one task reads, about, and that one Arrow batch holds, at most.
-SPLIT, BATCH = 2 << 20, 20_000
+#: Records that one task reads, about, that one Arrow batch holds, at most, and after which a part ends with the key.
+SPLIT, BATCH, PART = 2 << 20, 20_000, 1 << 20
+#: Ranges of keys that `write_points` tells apart; it joins neighbours of these into parts.
+FINEST = 1024
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -36,10 +38,9 @@ def _at(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
-    low: int
-    high: int
-    records: int
+    """The parts that a task wrote: (least key, greatest key, name, records)."""
+
+    parts: list[tuple[int, int, str, int]]
 
 
 @dataclass
@@ -51,6 +52,34 @@ class Slice(InputPartition):
     last: int
 
 
+class _Part:
+    """A part as it is written."""
+
+    def __init__(self, where: fs.FileSystem, root: str):
+        self.where, self.at, self.name = where, root, f"part-{uuid.uuid4().hex}"
+        self.out = where.open_output_stream(f"{root}/{self.name}.bin")
+        self.keys, self.begins, self.records = [], [], 0
+
+    def add(self, key: np.ndarray, record: pa.Array) -> None:
+        """Rows after those before: keys in order, and 60 bytes each."""
+        begins = np.flatnonzero(np.concatenate([[self.records == 0 or key[0] != self.keys[-1][-1]], key[1:] != key[:-1]]))
+        if len(begins):
+            self.keys.append(key[begins])
+            self.begins.append(begins + self.records)
+        fixed, size = record.cast(pa.binary(records.RECORD.itemsize)), records.RECORD.itemsize
+        self.out.write(fixed.buffers()[1].slice(fixed.offset * size, len(fixed) * size))
+        self.records += len(key)
+
+    def close(self) -> tuple[int, int, str, int]:
+        self.out.close()
+        keys, first = np.concatenate(self.keys), np.concatenate(self.begins)
+        index = np.zeros(len(keys), INDEX)
+        index["key"], index["first"], index["count"] = keys, first, np.diff(first, append=self.records)
+        with self.where.open_output_stream(f"{self.at}/{self.name}.idx") as out:
+            out.write(index.tobytes())
+        return int(keys[0]), int(keys[-1]), self.name, self.records
+
+
 class RecordWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
@@ -58,44 +87,40 @@ class RecordWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, root = _at(self.path)
         where.create_dir(root, recursive=True)
-        name = f"part-{uuid.uuid4().hex}"
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        with where.open_output_stream(f"{root}/{name}.bin") as out:
-            for batch in iterator:
-                key, record = batch.column("key"), batch.column("record")
-                if key.null_count or record.null_count or not pc.all(pc.equal(pc.binary_length(record), records.RECORD.itemsize)).as_py():
-                    raise ValueError("a record needs a key and 60 bytes")
-                key = key.to_numpy()
-                if len(key) == 0:
-                    continue
-                if (np.diff(key) < 0).any() or (len(keys) and key[0] < keys[-1]):
-                    raise ValueError("rows must come in the order of their keys; use write_records")
-                own, n = np.unique(key, return_counts=True)
-                if len(keys) and own[0] == keys[-1]:
-                    counts[-1] += n[0]
-                    own, n = own[1:], n[1:]
-                keys, counts = np.concatenate([keys, own]), np.concatenate([counts, n])
-                out.write(b"".join(record.to_pylist()))
-        index = np.zeros(len(keys), INDEX)
-        index["key"], index["count"] = keys, counts
-        index["first"] = np.cumsum(counts) - counts
-        with where.open_output_stream(f"{root}/{name}.idx") as out:
-            out.write(index.tobytes())
-        return Written(name, *((int(keys[0]), int(keys[-1])) if len(keys) else (0, -1)), int(counts.sum()))
+        parts, part, last = [], None, None
+        for batch in iterator:
+            key, record = batch.column("key"), batch.column("record")
+            if key.null_count or record.null_count or not pc.all(pc.equal(pc.binary_length(record), records.RECORD.itemsize)).as_py():
+                raise ValueError("a record needs a key and 60 bytes")
+            key = key.to_numpy()
+            if len(key) == 0:
+                continue
+            if (key[1:] < key[:-1]).any() or (last is not None and key[0] < last):
+                raise ValueError("rows must come in the order of their keys; use write_records")
+            same = int(np.searchsorted(key, last, "right")) if last is not None else 0
+            if same:  # a key's records stay together
+                part.add(key[:same], record[:same])
+            if same < len(key):
+                if part is not None and part.records >= PART:
+                    parts.append(part.close())
+                    part = None
+                part = part or _Part(where, root)
+                part.add(key[same:], record[same:])
+            last = key[-1]
+        return Written(parts + ([part.close()] if part else []))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         where, root = _at(self.path)
-        parts = sorted((m.low, m.high, m.name, m.records) for m in messages if isinstance(m, Written) and m.records)
+        parts = sorted(p for m in messages if isinstance(m, Written) for p in m.parts)
         where.create_dir(root, recursive=True)
         with where.open_output_stream(f"{root}/files.json") as out:
             out.write(json.dumps([{"name": n, "low": low, "high": high, "records": r} for low, high, n, r in parts]).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         where, root = _at(self.path)
-        for m in messages:
-            if isinstance(m, Written):
-                for end in ("bin", "idx"):
-                    where.delete_file(f"{root}/{m.name}.{end}")
+        for _, _, name, _ in (p for m in messages if isinstance(m, Written) for p in m.parts):
+            for end in ("bin", "idx"):
+                where.delete_file(f"{root}/{name}.{end}")
 
 
 class RecordReader(DataSourceReader):
@@ -121,20 +146,18 @@ class RecordReader(DataSourceReader):
         index = index[(index["first"] >= partition.first) & (index["first"] < partition.last) & (index["key"] >= self.low) & (index["key"] <= self.high)]
         if self.listed is not None:
             index = index[np.isin(index["key"], np.array(sorted(self.listed), np.int64))]
+        if len(index) == 0:
+            return
+        key, begin, count = (index[c].astype(np.int64) for c in ("key", "first", "count"))
+        end = begin + count
+        apart = np.flatnonzero(begin[1:] != end[:-1]) + 1  # keys whose records follow each other are read at once
         with where.open_input_file(f"{root}/{partition.name}.bin") as f:
-            at = 0
-            while at < len(index):  # keys whose records follow each other are read at once
-                to = at + 1
-                while to < len(index) and index["first"][to] == index["first"][to - 1] + index["count"][to - 1] and index["first"][to] - index["first"][at] < BATCH:
-                    to += 1
-                first, last = int(index["first"][at]), int(index["first"][to - 1] + index["count"][to - 1])
-                key = np.repeat(index["key"][at:to], index["count"][at:to])
-                n = np.arange(len(key)) - np.repeat(index["first"][at:to] - first, index["count"][at:to])
+            for first, last in zip(begin[[0, *apart]].tolist(), end[[*(apart - 1), len(end) - 1]].tolist(), strict=True):
+                f.seek(first * records.RECORD.itemsize)
                 for i in range(first, last, BATCH):
-                    part = slice(i - first, min(last - first, i - first + BATCH))
-                    f.seek(i * records.RECORD.itemsize)
-                    yield _batch(key[part], n[part], np.frombuffer(f.read((part.stop - part.start) * records.RECORD.itemsize), records.RECORD))
-                at = to
+                    at = np.arange(i, min(i + BATCH, last))
+                    row = np.searchsorted(begin, at, "right") - 1
+                    yield _batch(key[row], at - begin[row], np.frombuffer(f.read(len(at) * records.RECORD.itemsize), records.RECORD))
 
 
 def _batch(key: np.ndarray, n: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
@@ -161,12 +184,30 @@ class RecordSource(DataSource):
         return RecordWriter(self.options["path"])
 
 
+def _write(rows: DataFrame, key: str, path: str, order: Sequence[Column | str]) -> None:
+    rows.sparkSession.dataSource.register(RecordSource)
+    rows.sortWithinPartitions(key, *order).select(F.col(key).cast("long").alias("key"), "record").write.format(NAME).mode("append").save(path)
+
+
+def write_points(points: DataFrame, key: str, path: str, order: Sequence[str] = (), parts: int | None = None) -> None:
+    """Pack points (as `records.packed` takes them) and write them to a new folder: dealt by ranges of the key (`parts`, if given; 1,024 at most), in its order (then `order`).
+
+    The ranges come from the keys alone, as approximate percentiles of all of them, and each point is packed once; `repartitionByRange` would pack every point
+    a first time for the keys that it looks at. The ranges say only how even the parts are; whatever they are, all records of a key are in one part.
+    """
+    whole = F.col(key).cast("long")
+    found = points.select(whole.alias("k")).agg(F.count("*").alias("n"), F.percentile_approx("k", [i / FINEST for i in range(1, FINEST)], 10_000).alias("k")).first()
+    some = parts or max(-(-found.n // PART), min(points.sparkSession.sparkContext.defaultParallelism, -(-found.n // BATCH)))
+    some = min(max(some, 1), FINEST)
+    ends = sorted({found.k[i * FINEST // some - 1] for i in range(1, some)}) if found.k else []
+    rows = records.packed(points.withColumn(key, whole), list(dict.fromkeys([key, *order])), ends)
+    _write(rows.repartitionById(len(ends) + 1, "_range"), key, path, order)
+
+
 def write_records(packed: DataFrame, key: str, path: str, order: Sequence[Column] = (), parts: int | None = None) -> None:
     """Write packed records (key, record) to a new folder: dealt by ranges of the key (into `parts`, if given), in its order (then `order`), so each key's records
     stand together in one part."""
-    packed.sparkSession.dataSource.register(RecordSource)
-    dealt = packed.repartitionByRange(*([parts] if parts else []), key).sortWithinPartitions(key, *order).select(F.col(key).cast("long").alias("key"), "record")
-    dealt.write.format(NAME).mode("append").save(path)
+    _write(packed.repartitionByRange(*([parts] if parts else []), key), key, path, order)
 
 
 def read_records(spark: SparkSession, path: str, low: int = LEAST, high: int = GREATEST, keys: Iterable[int] | None = None) -> DataFrame:
